@@ -96,3 +96,22 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+#: Bits of the filter of only_some(), at most: 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def only_some(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """df with nearly only the rows whose key is among those of wanted, all of these included; ahead of a join, to shuffle less.
+
+    A bitmap of the hashed keys is broadcast: 16 bits a key, in pieces of 4 KB, and FILTER_BITS at most. With
+    more keys than that it lets more rows through, and the join that follows does the rest.
+    """
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) + 1
+    pieces = wanted.select(place(wanted_key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    found = df.withColumn("__p", place(key)).withColumn("__of", F.bitmap_bucket_number("__p")).withColumn("__p", F.bitmap_bit_position("__p"))
+    found = found.join(F.broadcast(pieces), F.col("__of") == F.col("__piece"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col("__p") % 8).cast("int")) == 1).select(*df.columns)
