@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.native import window_hashes, words
+from helixmill.llm.native import window_hashes, word_hashes, words
 
 K = 128
 SHINGLE = 5
@@ -19,7 +19,7 @@ _SPAN = float(2**64)
 
 def sketch(text: Column, k: int = K, n: int = SHINGLE) -> Column:
     """The sketch of a text: lower-cased words, shingles of n words; fewer words are one shingle, none gives an empty sketch."""
-    return F.slice(F.sort_array(F.array_distinct(window_hashes(words(F.lower(text)), n))), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(window_hashes(word_hashes(words(F.lower(text))), n))), 1, k)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:

@@ -20,20 +20,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
-def window_hashes(words: Column, n: int) -> Column:
-    """A 64-bit hash of each run of n words; of all words if there are 1 to n - 1; none without words."""
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashes: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n word hashes; of all if there are 1 to n - 1; none without words."""
 
     def runs(h: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0)))
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(n)))))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
-
-
-def spaces_removed(text: Column) -> Column:
-    for c in " \n\t\r\x0b\x0c":
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
+    return let(hashes, runs)
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:

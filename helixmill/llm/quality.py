@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.native import SPACE, jensen_shannon, let, spaces_removed, window_hashes, words
+from helixmill.llm.native import SPACE, jensen_shannon, let, window_hashes, word_hashes, words
 
 WINDOW = 5
-#: Common words of a reference.
-COMMON = 24
+#: Common words of a reference, and their longest in bytes.
+COMMON, COMMON_BYTES = 24, 6
 #: No verdict on documents with fewer words.
 LEAST_WORDS = 50
 #: A reference needs so many documents and words; there are at most so many references (those with the most words).
@@ -55,13 +55,13 @@ def _covered(windows: Column, n: int) -> Column:
     return F.aggregate(let(let(pairs, marked), steps), F.lit(0), lambda t, x: t + x)
 
 
-def with_repeated_words(df: DataFrame, words: str, to: str, n: int = WINDOW) -> DataFrame:
+def with_repeated_words(df: DataFrame, hashes: str, to: str, n: int = WINDOW) -> DataFrame:
     """df with the number of words in windows of n words that occur twice or more, the first occurrence included.
 
     Most texts have none, which shows when the distinct windows are counted. A text of fewer than n words has no
-    window; window_hashes gives it one, which cannot repeat.
+    window; window_hashes gives it one, which cannot repeat. hashes: a column of word hashes.
     """
-    df = df.withColumn("__windows", window_hashes(F.col(words), n))
+    df = df.withColumn("__windows", window_hashes(F.col(hashes), n))
     repeated = F.size(F.array_distinct("__windows")) < F.size("__windows")
     return df.withColumn(to, F.when(repeated, _covered(F.col("__windows"), n)).otherwise(F.lit(0))).drop("__windows")
 
@@ -81,22 +81,21 @@ def symbols(text: Column) -> Column:
 def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, common, word_shares, class_shares) of each language with enough text, from all of its documents.
 
-    common has the COMMON most frequent lower-cased words of letters only (ties by the word), word_shares
-    their shares of all words and last that of the rest. Words are counted in their tasks before they are shuffled.
+    common has the COMMON most frequent words of up to COMMON_BYTES bytes, letters only (ties by the word);
+    word_shares their shares of all words, and last that of the rest. Counts are summed in their tasks before they are shuffled.
     """
     texts = docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("lang is not null")
-    bare = texts.withColumn("spaces", F.char_length("text") - F.char_length(spaces_removed(F.col("text"))))
-    counted = bare.select("lang", char_classes(F.col("text"), F.col("spaces")).alias("classes"), F.lit(1).alias("one"))
-    classes = counted.groupBy("lang").agg(F.sum("one").alias("documents"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(6)))
+    texts = texts.select("lang", "text", words(F.col("text")).alias("words")).withColumn("spaces", F.char_length("text") - F.char_length(F.array_join("words", "")))
+    counted = texts.select("lang", F.size("words").alias("n"), char_classes(F.col("text"), F.col("spaces")).alias("classes"))
+    classes = counted.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("words"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(6)))
     classes = classes.withColumn("all", sum((F.col(f"c{i}") for i in range(1, 6)), F.col("c0")))
-    seen = texts.select("lang", F.explode(words(F.lower(F.col("text")))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = seen.groupBy("lang").agg(F.sum("n").alias("words"), F.max_by("word", "n").alias("top"))
-    ranked = seen.where(F.col("word").rlike("^\\p{L}+$"))
-    # the smallest keys of (-n, word) by language, kept small while they are merged
-    best = ranked.groupBy("lang", F.pmod(F.xxhash64("word"), F.lit(32)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, COMMON).alias("best"))
-    best = best.select("lang", F.explode("best").alias("b")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("b"))).where(F.col("r") <= COMMON)
-    best = best.groupBy("lang").agg(F.sort_array(F.collect_list("b")).alias("best"))
-    out = best.join(totals, "lang").join(classes, "lang").where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("words") >= LEAST_REFERENCE_WORDS))
+    seen = texts.select("lang", F.explode(F.filter("words", lambda w: F.octet_length(w) <= COMMON_BYTES)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = seen.where(F.col("word").rlike("^\\p{L}+$")).select("lang", F.struct((-F.col("n")).alias("m"), "word").alias("b"))
+    # first the best of 32 parts of a language, then of the language: no window holds a whole vocabulary
+    for by in (["lang", F.pmod(F.xxhash64("b.word"), F.lit(32))], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("b"))).where(F.col("r") <= COMMON)
+    best = ranked.groupBy("lang").agg(F.sort_array(F.collect_list("b")).alias("best"))
+    out = best.join(classes, "lang").where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("words") >= LEAST_REFERENCE_WORDS))
     shares = F.transform("best", lambda b: -b["m"] / F.col("words"))
     return out.orderBy(F.col("words").desc(), "lang").limit(REFERENCES).select(
         "lang", F.transform("best", lambda b: b["word"]).alias("common"),
@@ -105,11 +104,14 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
     )
 
 
-def common_shares(words: Column, n: Column, common: Column) -> Column:
-    """Shares of the common words and of all others among n words, in lower case."""
-    padded = F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
-    counts = let(padded, lambda t: F.transform(common, lambda w: (F.octet_length(t) - F.octet_length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)))
-    return let(counts, lambda c: F.transform(F.concat(c, F.array(n - F.aggregate(c, F.lit(0.0), lambda t, x: t + x))), lambda x: x / F.greatest(n, F.lit(1))))
+def common_shares(hashes: Column, n: Column, common: Column) -> Column:
+    """Shares of the common words and of all others among n words; hashes and common: word hashes.
+
+    Written out for each of the COMMON words, so that each count is a loop of compiled code over the array.
+    """
+    counts = [F.size(hashes) - F.size(F.array_remove(hashes, F.coalesce(F.get(common, F.lit(i)), F.lit(0)))) for i in range(COMMON)]
+    known = let(F.array(*counts), lambda c: F.slice(c, F.lit(1), F.size(common)))
+    return let(known, lambda c: F.transform(F.concat(c, F.array(n - F.aggregate(c, F.lit(0), lambda t, x: t + x))), lambda x: x / F.greatest(n, F.lit(1))))
 
 
 def judged(docs: DataFrame, lang: str = "lang", text: str = "text", known: DataFrame | None = None) -> DataFrame:
@@ -122,21 +124,21 @@ def judged(docs: DataFrame, lang: str = "lang", text: str = "text", known: DataF
     known = references(docs, lang, text) if known is None else known
     rows = known.collect()  # at most REFERENCES rows of COMMON words
     spark = docs.sparkSession
-    lit = lambda r: F.struct(F.lit(r["lang"]).alias("__lang"), F.array(*map(F.lit, r["common"])).alias("__common"), F.array(*map(F.lit, r["word_shares"])).alias("__word_shares"), F.array(*map(F.lit, r["class_shares"])).alias("__class_shares"))
+    lit = lambda r: F.struct(F.lit(r["lang"]).alias("__lang"), F.array(*(F.xxhash64(F.lit(w)) for w in r["common"])).alias("__common"), F.array(*map(F.lit, r["word_shares"])).alias("__word_shares"), F.array(*map(F.lit, r["class_shares"])).alias("__class_shares"))
     if rows:
         table = spark.range(1).select(F.inline(F.array(*map(lit, rows))))
     else:
-        table = spark.range(0).select(F.lit(None).cast("string").alias("__lang"), *(F.lit(None).cast(t).alias(c) for c, t in (("__common", "array<string>"), ("__word_shares", "array<double>"), ("__class_shares", "array<double>"))))
+        table = spark.range(0).select(F.lit(None).cast("string").alias("__lang"), *(F.lit(None).cast(t).alias(c) for c, t in (("__common", "array<bigint>"), ("__word_shares", "array<double>"), ("__class_shares", "array<double>"))))
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__words", words(body)).withColumn("__n", F.size("__words"))
+    out = docs.withColumn("__words", words(body)).withColumn("__n", F.size("__words")).withColumn("__hashes", word_hashes(F.col("__words")))
     out = out.join(F.broadcast(table), F.col(lang) == F.col("__lang"), "left")
     long = (F.col("__n") >= LEAST_WORDS) & F.col("__lang").isNotNull()
-    out = with_repeated_words(out, "__words", "__repeat").withColumn("__chars", F.char_length(spaces_removed(body)))
+    out = with_repeated_words(out, "__hashes", "__repeat").withColumn("__chars", F.char_length(F.array_join("__words", "")))
     shares = let(char_classes(body, F.char_length(body) - F.col("__chars")), lambda c: F.transform(c, lambda x: x / F.greatest(F.char_length(body), F.lit(1))))
     out = out.withColumns(
         {
             "__class": F.when(long, jensen_shannon(shares, F.col("__class_shares"))),
-            "__word": F.when(long, jensen_shannon(common_shares(F.col("__words"), F.col("__n"), F.col("__common")), F.col("__word_shares"))),
+            "__word": F.when(long, jensen_shannon(common_shares(F.col("__hashes"), F.col("__n"), F.col("__common")), F.col("__word_shares"))),
             "__symbols": symbols(body), "__lines": duplicate_lines(body),
         }
     )
