@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import fingerprints, ngram_join, quality
+from helixmill.llm import bpe, fingerprints, ngram_join, quality, records, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +19,39 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary of public_tokenizers; HELIXMILL_TOKENIZERS names another folder with files of these names."""
+    if folder := os.environ.get("HELIXMILL_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    shards = records.write_records(_documents(spark, sf_dir), lambda: records.chunk_encoder(path, "uint16"), end_id=2, vocabulary=49_408)
+    return records.read_records(shards)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(_documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
@@ -29,7 +59,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op4_token_records": op4_token_records,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
+        "op9_token_counts": op9_token_counts,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 
