@@ -7,18 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import bpe, fingerprints, ngram_join, quality, records, token_counts
+from helixmill.llm import bpe, fingerprints, langid, mixing, ngram_join, quality, records, secrets, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_found(_documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(_documents(spark, sf_dir), n=3, num=9, den=10)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.payloads(warc.read_archives(warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 def tokenizer_file(name: str) -> str:
     """A vocabulary of public_tokenizers; HELIXMILL_TOKENIZERS names another folder with files of these names."""
     if folder := os.environ.get("HELIXMILL_TOKENIZERS"):
@@ -40,6 +48,14 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(shards)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(_documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
@@ -58,8 +74,12 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scans": op1_secret_scans,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_warc": op3_warc,
         "op4_token_records": op4_token_records,
+        "op5_source_mixing": op5_source_mixing,
+        "op6_language_id": op6_language_id,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
