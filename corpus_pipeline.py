@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixmill.llm import bpe, mixing, ngram_join, quality, queries, secrets
 from helixmill.llm.common import stored
+from helixmill.plans.shipping import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +38,16 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(docs, queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern())
 
 
+def _shipped(stage):
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", ngram_jaccard_join),
-    ("secret scans", secret_scans),
-    ("source mixing", source_mixing),
-    ("byte-level BPE", byte_bpe),
+    ("quality rules", _shipped(quality_rules)),
+    ("n-gram Jaccard join", _shipped(ngram_jaccard_join)),
+    ("secret scans", _shipped(secret_scans)),
+    ("source mixing", _shipped(source_mixing)),
+    ("byte-level BPE", _shipped(byte_bpe)),
 ]
 
 #: SQL has neither the tokenizer nor the automata; the stages are tested against brute force instead.
