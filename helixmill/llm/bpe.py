@@ -44,14 +44,15 @@ class ByteBPE:
         # white space as the property of that name, which is what the pattern's library means by \s
         stated = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(stated).findall
-        self.tokens = Memory(self._token)
+        self.tokens = Memory(self._token, most=400_000)
         self.first = Memory(self._chunk)
-        self.after_space = Memory(lambda chunk: None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._chunk(" " + chunk))
+        self.after_space = Memory(lambda chunk: None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._chunk(" " + chunk), most=400_000)
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
         ranks, buckets, leaves, bits = self.ranks, self.buckets, self.leaves, _BITS
-        if (whole := ranks.get(token)) is not None:
+        find = ranks.get
+        if (whole := find(token, -1)) >= 0:
             return [whole]
         n = len(token)
         part = [token[i : i + 1] for i in range(n)]
@@ -59,7 +60,7 @@ class ByteBPE:
         pair = [-1] * n  # the rank of a live node and its successor
         top = 0  # which leaves hold a bit; a leaf holds a bit for each rank with a bucket
         for i in range(n - 1):
-            if (r := ranks.get(token[i : i + 2], -1)) >= 0:
+            if (r := find(token[i : i + 2], -1)) >= 0:
                 pair[i] = r
                 if r in buckets:
                     buckets[r].append(i)  # ascending, so a heap
@@ -79,29 +80,30 @@ class ByteBPE:
                     continue  # stale
                 j = after[i]
                 own = part[i] = part[i] + part[j]
-                pair[j] = pair[i] = -1
+                pair[j] = -1
                 k = after[i] = after[j]
-                lower = False
+                x = y = -1
                 if k < n:
                     before[k] = i
-                    changed = ((i, own + part[k]),)
-                else:
-                    changed = ()
+                    x = find(own + part[k], -1)
+                pair[i] = x
+                if x >= 0:
+                    if x in buckets:
+                        heappush(buckets[x], i)
+                    else:
+                        buckets[x] = [i]
+                        leaves[x >> 8] |= bits[x & 255]
+                        top |= bits[x >> 8]
                 if (h := before[i]) >= 0:
-                    pair[h] = -1
-                    changed = (*changed, (h, part[h] + own))
-                for at, both in changed:
-                    if (x := ranks.get(both, -1)) >= 0:
-                        pair[at] = x
-                        if x in buckets:
-                            heappush(buckets[x], at)
+                    y = pair[h] = find(part[h] + own, -1)
+                    if y >= 0:
+                        if y in buckets:
+                            heappush(buckets[y], h)
                         else:
-                            buckets[x] = [at]
-                            v = x >> 8
-                            leaves[v] |= bits[x & 255]
-                            top |= bits[v]
-                        lower = lower or x < r
-                if lower:
+                            buckets[y] = [h]
+                            leaves[y >> 8] |= bits[y & 255]
+                            top |= bits[y >> 8]
+                if 0 <= x < r or 0 <= y < r:
                     break
             if not bucket:
                 del buckets[r]
