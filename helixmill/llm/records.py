@@ -114,35 +114,51 @@ def read_shuffled(path: str, seed: int) -> Iterator[tuple[int | None, np.ndarray
 
 
 class ChunkEncoder:
-    """Ids by the tokenizers library for tokenizers that drop white space and never merge across it.
+    """Ids by the tokenizers library for tokenizers that lower-case, drop white space and never merge letters with marks.
 
-    Texts are cut at spaces and line feeds, and equal chunks are encoded once for as long as they are remembered.
+    Texts are cut at spaces and line feeds; an ASCII word and the marks behind it are cut as well. Equal chunks, and equal
+    parts of new chunks, are encoded once for as long as they are remembered.
     """
 
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.memory = Memory(self._one, most=250_000)
-        self.memory[""] = b""
+        self.chunks, self.parts = Memory(self._chunk, most=400_000), Memory(self._part, most=400_000)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(part, add_special_tokens=False).ids) if part else b""
+
+    def _cut(self, chunk: str) -> tuple[str, ...]:
+        if chunk.isascii():
+            word = chunk.lower().rstrip(self.MARKS)
+            if word.isalpha():
+                return (word, chunk[len(word) :]) if len(word) < len(chunk) else (word,)
+        return (chunk,)
 
-    def _one(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes() if chunk else b""
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.parts[p] for p in self._cut(chunk)])
 
     def _learn(self, wanted: set[str]) -> None:
-        memory = self.memory
-        old = memory.old
-        fresh = [c for c in wanted if c not in memory and c not in old and len(c) <= memory.longest]
-        for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            if len(memory) >= memory.most:
-                memory.old = dict(memory)
-                memory.clear()
-            memory[c] = np.array(e.ids, self.dtype).tobytes()
+        chunks, parts = self.chunks, self.parts
+        fresh = [c for c in wanted if c not in chunks and c not in chunks.old]
+        new = {p for c in fresh for p in self._cut(c)}
+        new = [p for p in new if p not in parts and p not in parts.old and len(p) <= parts.longest]
+        made = {p: self._bytes(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        if len(parts) + len(made) > parts.most:
+            parts.old = dict(parts)
+            parts.clear()
+        parts |= made
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*cut))
-        return [np.frombuffer(b"".join(map(self.memory.__getitem__, c)), self.dtype) for c in cut]
+        return [np.frombuffer(b"".join(map(self.chunks.__getitem__, c)), self.dtype) for c in cut]
 
 
 @cache
