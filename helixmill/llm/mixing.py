@@ -23,7 +23,7 @@ MOST_TIMES = 3
 #: Words of a block, at most; it is smaller if a source would get fewer than LEAST_BLOCKS blocks.
 BLOCK, LEAST_BLOCKS = 1024, 64
 #: Words and documents of a shard, about.
-SHARD_WORDS, SHARD_ROWS = 4_000_000, 50_000
+SHARD_WORDS, SHARD_ROWS = 1 << 20, 1 << 14
 SEED = 17
 
 
