@@ -134,12 +134,12 @@ def sharded_matching_statistics(sequences: DataFrame, patterns: DataFrame, shard
     index, each shard matches all patterns, and the longest match of all shards counts. len 0 has no pos."""
     placed = sequences.join(starts(sequences), "seq_id").withColumn("shard", F.floor(F.col("start") / shard_symbols))
     shards = placed.select("shard").distinct()
-    asked = _each(patterns.select("name", "seq"), shards)
+    asked = _each(patterns.select(F.col("name").alias("pattern_name"), F.col("seq").alias("pattern")), shards)
 
     def run(key: tuple, texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         texts = texts.sort_values("start")
         index = Index.of(list(zip(texts["start"].tolist(), texts["seq"], strict=True)))
-        return _frame([r for name, seq in zip(wanted["name"], wanted["seq"], strict=True) for r in _rows(index, name, seq or "", "min", "break")])
+        return _frame([r for name, seq in zip(wanted["pattern_name"], wanted["pattern"], strict=True) for r in _rows(index, name, seq or "", "min", "break")])
 
     own = placed.select("shard", "start", "seq").groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, _MS)
     best = own.groupBy("name", "i").agg(F.max(F.struct("len", (-F.col("pos")).alias("p"))).alias("m"))
@@ -149,6 +149,7 @@ def sharded_matching_statistics(sequences: DataFrame, patterns: DataFrame, shard
 def _each(patterns: DataFrame, shards: DataFrame) -> DataFrame:
     """patterns for each shard: shards are numbered, so a range of numbers makes them without a cross join."""
     most = shards.agg(F.max("shard")).first()[0]
+    shards = shards.select(F.col("shard").alias("of"))
     rows = patterns.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most or 0).cast("long"))))
-    return rows.join(shards, "shard", "left_semi")
+    return rows.join(shards, F.col("shard") == F.col("of"), "left_semi")
 
