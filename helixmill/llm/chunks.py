@@ -26,7 +26,11 @@ class Memory(dict):
             if len(chunk) > self.longest:
                 return out
         if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+            self.turn()
         self[chunk] = out
         return out
+
+    def turn(self) -> None:
+        """The young generation becomes the old one."""
+        self.old = dict(self)
+        self.clear()

@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,13 +127,14 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.chunks, self.parts = Memory(self._chunk, most=400_000), Memory(self._part, most=400_000)
+        self.chunks, self.parts = Memory(self._again, most=400_000), Memory(self._again, most=400_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(part, add_special_tokens=False).ids) if part else b""
+    def _again(self, part: str) -> bytes:
+        """A part that was forgotten meanwhile."""
+        return self._bytes(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def _cut(self, chunk: str) -> tuple[str, ...]:
         if chunk.isascii():
@@ -141,24 +143,42 @@ class ChunkEncoder:
                 return (word, chunk[len(word) :]) if len(word) < len(chunk) else (word,)
         return (chunk,)
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.parts[p] for p in self._cut(chunk)])
-
-    def _learn(self, wanted: set[str]) -> None:
-        chunks, parts = self.chunks, self.parts
-        fresh = [c for c in wanted if c not in chunks and c not in chunks.old]
-        new = {p for c in fresh for p in self._cut(c)}
-        new = [p for p in new if p not in parts and p not in parts.old and len(p) <= parts.longest]
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Encodes the chunks that are not remembered; returns those that are too long to be."""
+        chunks, parts, longest = self.chunks, self.parts, self.chunks.longest
+        cuts = {c: self._cut(c) for c in wanted.difference(chunks).difference(chunks.old)}
+        new = list(set(chain.from_iterable(cuts.values())).difference(parts).difference(parts.old))
         made = {p: self._bytes(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
         if len(parts) + len(made) > parts.most:
-            parts.old = dict(parts)
-            parts.clear()
-        parts |= made
+            parts.turn()
+        old, found = parts.old, {}
+        for c, cut in cuts.items():
+            out = b""
+            for p in cut:
+                ids = made.get(p)
+                if ids is None:
+                    ids = parts.get(p)
+                    if ids is None:
+                        ids = made[p] = old[p]
+                out += ids
+            found[c] = out
+        parts.update((p, ids) for p, ids in made.items() if len(p) <= longest)
+        if len(chunks) + len(found) > chunks.most:
+            chunks.turn()
+        long = {c: found.pop(c) for c in [c for c in found if len(c) > longest]}
+        chunks.update(found)
+        return long
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]  # as the tokenizer does; special tokens are left to it
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*cut))
-        return [np.frombuffer(b"".join(map(self.chunks.__getitem__, c)), self.dtype) for c in cut]
+        long = self._learn(set().union(*cut))
+        chunks, long = self.chunks, long or None
+        out = []
+        for c in cut:
+            find = chunks.__getitem__ if long is None or long.keys().isdisjoint(c) else (lambda x: long[x] if x in long else chunks[x])
+            out.append(np.frombuffer(b"".join(map(find, c)), self.dtype))
+        return out
 
 
 @cache
