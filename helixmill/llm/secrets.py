@@ -207,7 +207,11 @@ def _class(c: str) -> str:
 
 
 class Background:
-    """A model of ordinary tokens: characters given the one before, smoothed, from words of the corpus."""
+    """A model of ordinary tokens from words of the corpus: each character given the one before, mixed with a small share
+    of a prior over character classes, so that what a small corpus never showed costs no more than what a large one did not."""
+
+    SHARE = 0.02
+    PRIOR = {**dict.fromkeys(_LOWER, 0.7 / 26), **dict.fromkeys(_DIGIT, 0.15 / 10), **dict.fromkeys(_UPPER, 0.1 / 26)}
 
     def __init__(self, words: Counter):
         pairs, ones = Counter(), Counter()
@@ -215,14 +219,16 @@ class Background:
             for a, b in zip("^" + w, w, strict=False):
                 pairs[a, b] += n
                 ones[a] += n
-        self.pairs, self.ones = dict(pairs), dict(ones)
+        self.share = {(a, b): n / ones[a] for (a, b), n in pairs.items()}
+        for a in _DIGIT:  # numbers are ordinary, whether the words show them or not
+            self.share |= {(a, b): max(0.08, self.share.get((a, b), 0.0)) for b in _DIGIT}
 
     def bits(self, s: str) -> float:
-        return sum(math.log2((self.pairs.get((a, b), 0) + 1 / 64) / (self.ones.get(a, 0) + 1)) for a, b in zip("^" + s, s, strict=False))
+        return sum(math.log2((1 - self.SHARE) * self.share.get((a, b), 0) + self.SHARE * self.PRIOR.get(b, 0.01)) for a, b in zip("^" + s, s, strict=False))
 
 
 #: A candidate is a secret if a format explains it better than words by so many bits a character, and it has so many digits at least.
-LEAST_GAIN, LEAST_DIGITS = 3.5, 3
+LEAST_GAIN, LEAST_DIGITS = 2.0, 3
 #: Documents whose words teach the background model: those with the smallest hashes; and characters of each.
 SAMPLE, SAMPLE_CHARS = 1000, 4000
 
