@@ -149,8 +149,6 @@ class ChunkEncoder:
         cuts = {c: self._cut(c) for c in wanted.difference(chunks).difference(chunks.old)}
         new = list(set(chain.from_iterable(cuts.values())).difference(parts).difference(parts.old))
         made = {p: self._bytes(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(parts) + len(made) > parts.most:
-            parts.turn()
         old, found = parts.old, {}
         for c, cut in cuts.items():
             out = b""
@@ -162,6 +160,8 @@ class ChunkEncoder:
                         ids = made[p] = old[p]
                 out += ids
             found[c] = out
+        if len(parts) + len(made) > parts.most:
+            parts.turn()
         parts.update((p, ids) for p, ids in made.items() if len(p) <= longest)
         if len(chunks) + len(found) > chunks.most:
             chunks.turn()
