@@ -25,6 +25,7 @@ class Index:
         order = np.argsort(sa, kind="stable")
         rank[order] = np.roll(order, 1)
         self.lf = rank  # the row of the text position before, cyclic
+        self.jumps: list[tuple] = []  # (i, row before, row after, length) of the last walk's repositionings
         self.rows = {c: np.flatnonzero(bwt == c) for c in np.unique(bwt) if c != "$"}
 
     @classmethod
@@ -65,6 +66,7 @@ class Index:
         The row is kept if its BWT has the wanted character; else the nearest row above or below that has it is taken,
         whichever shares more, above on ties. It starts in the last row.
         """
+        self.jumps.clear()
         last = len(self.sa) - 1
         row, length = last, 0
         for i in range(len(pattern) - 1, -1, -1):
@@ -77,11 +79,13 @@ class Index:
                 yield i, 0, None
                 continue
             if self.bwt[row] != c:
+                self.jumps.append((i, row))
                 k = int(np.searchsorted(rows, row))
                 up = self._extension(int(rows[k - 1]), row) if k else -1
                 down = self._extension(row, int(rows[k])) if k < len(rows) else -1
                 row, best = (int(rows[k - 1]), up) if up >= down else (int(rows[k]), down)
                 length = min(length, best)
+                self.jumps[-1] += (row, length)
             row, length = int(self.lf[row]), length + 1
             yield i, length, row
 
@@ -107,6 +111,31 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"i": "int64", "len": "int64", "pos": "Int64"})
 
 
+def _index_of(table: DataFrame):
+    """The broadcast arrays of a suffix table of up to BROADCAST_ROWS rows."""
+    n = table.count()
+    if n > BROADCAST_ROWS:
+        raise ValueError(f"an index of {n} rows is too large to broadcast ({BROADCAST_ROWS}): use sharded_matching_statistics")
+    arrays = table.select("sa_rank", "text_pos", "bwt", "lcp").toPandas().sort_values("sa_rank")
+    return table.sparkSession.sparkContext.broadcast((arrays["text_pos"].to_numpy(np.int64), arrays["bwt"].to_numpy("<U1"), arrays["lcp"].to_numpy(np.int64)))
+
+
+def repositionings(table: DataFrame, patterns: DataFrame, on_bad: str = "error") -> DataFrame:
+    """(name, i, from_row, to_row, len): where the walk over a pattern left its row, for another with the wanted character, and the
+    length it kept. Its count by name is the number of mismatches."""
+    shared = _index_of(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(*shared.value)
+        for pdf in batches:
+            for name, seq in zip(pdf["name"], pdf["seq"], strict=True):
+                for _ in index.walk(seq or "", on_bad):
+                    pass
+                yield pd.DataFrame([(name, *j) for j in index.jumps], columns=["name", "i", "from_row", "to_row", "len"])
+
+    return patterns.select("name", "seq").mapInPandas(run, "name string, i long, from_row long, to_row long, len long")
+
+
 def matching_statistics(table: DataFrame, patterns: DataFrame, rule: str = "reference", on_bad: str = "error") -> DataFrame:
     """(name, i, len, pos) of each place of each pattern(name, seq), batch or streaming, by an index that is broadcast.
 
@@ -114,11 +143,7 @@ def matching_statistics(table: DataFrame, patterns: DataFrame, rule: str = "refe
     collection lacks raises, or with on_bad "break" gives len 0 and no pos. Rows of patterns are independent, so this
     also runs on a stream. The index may have BROADCAST_ROWS rows; beyond that, use sharded_matching_statistics.
     """
-    n = table.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"an index of {n} rows is too large to broadcast ({BROADCAST_ROWS}): use sharded_matching_statistics")
-    arrays = table.select("sa_rank", "text_pos", "bwt", "lcp").toPandas().sort_values("sa_rank")
-    shared = table.sparkSession.sparkContext.broadcast((arrays["text_pos"].to_numpy(np.int64), arrays["bwt"].to_numpy("<U1"), arrays["lcp"].to_numpy(np.int64)))
+    shared = _index_of(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(*shared.value)

@@ -262,6 +262,38 @@ def ms_pos_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.matching_statistics(suffixes(own), patterns)
 
 
+@query("ms_repositionings")
+def ms_repositionings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk's path; golden lengths and positions test it."""
+    own, patterns = _matched(spark, sf_dir)
+    return matching.repositionings(suffixes(own), patterns)
+
+
+def _text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes(seqs.from_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", "text"))
+
+
+_TEXT = _SUF.replace("regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')", "coalesce(text, '')")
+
+
+@query("suffix_array_text", _with(_TEXT, "select sa_rank, seq_id, off, text_pos, lcp from t"))
+def suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_table(spark, sf_dir).select("sa_rank", "seq_id", "off", "text_pos", "lcp")
+
+
+@query("min_lcp_per_run_text", _with(_TEXT, _MIN))
+def min_lcp_per_run_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_minima(_text_table(spark, sf_dir))
+
+
+_LONG = 12
+
+
+@query("smem_text", _with(_SMEM.replace(_SUF, _TEXT).replace(f"range({LEAST}, ", f"range({_LONG}, ").replace(f">= {LEAST})", f">= {_LONG})"), "select seq_id as seq, off as pos, k::bigint as len, n::bigint as occ from m"))
+def smem_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.supermaximal_repeats(_text_table(spark, sf_dir), _LONG).drop("others")
+
+
 _CYCLES = "".join(
     f", {k}_c as (with recursive w(x, i) as (select 0::bigint, 0 union all select near.{k}, w.i + 1 from w join near on near.{at} = w.x where w.i < (select n from z)) select count(distinct x) as seen from w)" for k, at in (("lf", "sa_rank"), ("psi", "sa_rank"), ("phi", "text_pos"), ("inv_phi", "text_pos"))
 )

@@ -8,13 +8,16 @@ from helixmill.operators.maps import inv_phi_map, lf_map, phi_map, psi_map
 from helixmill.operators.runs import rlbwt, run_minima
 
 
+RELATIONS = ("sequences", "suffixes", "rlbwt", "run_minima", "lf", "psi", "phi", "inv_phi")
+
+
 def save(table: DataFrame, sequences: DataFrame, path: str) -> None:
     """Writes the sequences, the suffix table, the runs, their least lcps and the four interval maps."""
     relations = {
         "sequences": sequences, "suffixes": table.drop("suf"), "rlbwt": rlbwt(table), "run_minima": run_minima(table),
         "lf": lf_map(table), "psi": psi_map(table), "phi": phi_map(table), "inv_phi": inv_phi_map(table),
     }
-    for name, df in relations.items():
+    for name, df in ((name, relations[name]) for name in RELATIONS):
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
