@@ -7,7 +7,9 @@ ordered by sequence. bwt is the character before, "$" at a start; lcp is the com
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.strings import common_prefix, order_key
@@ -26,8 +28,9 @@ def positions(sequences: DataFrame) -> DataFrame:
     return rows.select("seq_id", "off", (F.col("start") + F.col("off")).alias("text_pos"), "len", "seq", before.alias("bwt"))
 
 
-def suffixes(sequences: DataFrame, method: str = "auto") -> DataFrame:
-    """The suffix table. method "strings" sorts suffixes as strings, "doubling" never makes one (suf is null); "auto" goes by their total length."""
+def suffixes(sequences: DataFrame, method: str = "auto", mode: str = "dna") -> DataFrame:
+    """The suffix table. mode "dna" puts N behind T, "text" sorts by code points. method "strings" sorts suffixes as strings, "doubling" never makes one (suf is null); "auto" goes by their total length."""
+    key = {"dna": order_key, "text": lambda c: c}[mode]
     if method == "auto":
         total = sequences.agg(F.sum(F.col("len") * F.col("len") / 2)).first()[0] or 0
         method = "strings" if total <= AS_STRINGS else "doubling"
@@ -35,11 +38,11 @@ def suffixes(sequences: DataFrame, method: str = "auto") -> DataFrame:
     if method == "strings":
         longest = sequences.agg(F.max("len")).first()[0] or 0
         rows = rows.select("seq_id", "off", "text_pos", "bwt", F.substring("seq", (F.col("off") + 1).cast("int"), F.col("len").cast("int")).alias("suf"))
-        rows = ranked(rows, "sa_rank", order_key(F.col("suf")), F.col("seq_id"))
+        rows = ranked(rows, "sa_rank", key(F.col("suf")), F.col("seq_id"))
         above = rows.select((F.col("sa_rank") + 1).alias("sa_rank"), F.col("suf").alias("above"), F.col("bwt").alias("above_bwt"))
         rows = rows.join(above, "sa_rank", "left").withColumn("lcp", F.coalesce(common_prefix(F.col("suf"), F.col("above"), longest), F.lit(0).cast("long")))
     elif method == "doubling":
-        rows = _doubled(rows)
+        rows = _doubled(rows, key)
     else:
         raise ValueError(f"method: {method}")
     head = F.when((F.col("bwt") == "$") | F.col("above_bwt").isNull() | (F.col("above_bwt") != F.col("bwt")), 1).otherwise(0)
@@ -48,7 +51,7 @@ def suffixes(sequences: DataFrame, method: str = "auto") -> DataFrame:
     return stored(rows.select("seq_id", "off", "text_pos", "suf", "sa_rank", "bwt", "lcp", "run_id"), "suffixes")
 
 
-def _doubled(rows: DataFrame) -> DataFrame:
+def _doubled(rows: DataFrame, order: Callable[[Column], Column]) -> DataFrame:
     """Ranks by prefix doubling, and LCPs by descending powers of two over its rank tables; one position is one small row.
 
     A table says for each text position which rank its first h characters have; endmarkers are characters of their own, so
@@ -56,7 +59,7 @@ def _doubled(rows: DataFrame) -> DataFrame:
     """
     c = F.substring("seq", (F.col("off") + 1).cast("int"), F.lit(1))
     end = F.col("off") == F.col("len")
-    key = F.when(end, F.struct(F.lit("").alias("c"), F.col("seq_id").alias("s"))).otherwise(F.struct(order_key(c).alias("c"), F.lit(0).cast("long").alias("s")))
+    key = F.when(end, F.struct(F.lit("").alias("c"), F.col("seq_id").alias("s"))).otherwise(F.struct(order(c).alias("c"), F.lit(0).cast("long").alias("s")))
     base = stored(rows.select("seq_id", "off", "text_pos", "bwt", key.alias("key")), "positions")
 
     def numbered(keyed: DataFrame) -> tuple[DataFrame, bool]:

@@ -270,7 +270,7 @@ def ms_repositionings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes(seqs.from_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", "text"))
+    return suffixes(seqs.from_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", "text"), mode="text")
 
 
 _TEXT = _SUF.replace("regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')", "coalesce(text, '')")
