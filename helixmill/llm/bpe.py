@@ -44,9 +44,9 @@ class ByteBPE:
         # white space as the property of that name, which is what the pattern's library means by \s
         stated = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(stated).findall
-        self.tokens = Memory(self._token, most=200_000)
+        self.tokens = Memory(self._token, most=120_000)
         self.first = Memory(self._chunk)
-        self.after_space = Memory(lambda chunk: None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._chunk(" " + chunk), most=250_000)
+        self.after_space = Memory(lambda chunk: None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._chunk(" " + chunk), most=200_000)
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -44,6 +45,15 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def give_back() -> None:
+    """Returns free memory to the system, so that a worker that waits for its next task holds no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices with at most most_bytes of text, or one row: bounds what a kernel holds."""
     for batch in batches:
@@ -57,6 +67,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
             to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
             yield batch.slice(at, to - at)
             at, base = to, int(ends[to - 1])
+        del batch, column, ends
+        give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -127,7 +127,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.chunks, self.parts = Memory(self._again, most=400_000), Memory(self._again, most=400_000)
+        self.chunks, self.parts = Memory(self._again, most=400_000), Memory(self._again, most=500_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -149,17 +149,19 @@ class ChunkEncoder:
         cuts = {c: self._cut(c) for c in wanted.difference(chunks).difference(chunks.old)}
         new = list(set(chain.from_iterable(cuts.values())).difference(parts).difference(parts.old))
         made = {p: self._bytes(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        old, found = parts.old, {}
-        for c, cut in cuts.items():
-            out = b""
-            for p in cut:
-                ids = made.get(p)
+        old, young, found = parts.old, parts.get, {}
+        find = made.get
+
+        def ids_of(p: str) -> bytes:
+            ids = find(p)
+            if ids is None:
+                ids = young(p)
                 if ids is None:
-                    ids = parts.get(p)
-                    if ids is None:
-                        ids = made[p] = old[p]
-                out += ids
-            found[c] = out
+                    ids = made[p] = old[p]
+            return ids
+
+        for c, cut in cuts.items():
+            found[c] = ids_of(cut[0]) if len(cut) == 1 else ids_of(cut[0]) + ids_of(cut[1])
         if len(parts) + len(made) > parts.most:
             parts.turn()
         parts.update((p, ids) for p, ids in made.items() if len(p) <= longest)
@@ -206,7 +208,7 @@ def write_records(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int,
         from pyspark import TaskContext
 
         shard, encode, out = TaskContext.get().partitionId(), encoder(), None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             out = out or ShardWriter(folder, f"{shard:06d}-{uuid.uuid4().hex}", dtype)
             for d, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch.column(1))), strict=True):
                 out.add(d, np.append(ids, np.array([end_id], ids.dtype)))
