@@ -20,20 +20,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.llm.chunks import Memory
-from helixmill.llm.common import new_folder, slices, stored, texts_of
+from helixmill.llm.common import new_folder, slices, stored
 
 #: Fixed value of the mask.
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<Bq")
+_ROW = struct.Struct("<QQBq")
 INDEX = np.dtype([("offset", "<u8"), ("n", "<u8"), ("null", "u1"), ("doc_id", "<i8")])
 
-Encoder = Callable[[list[str]], list[np.ndarray]]
+Encoder = Callable[[pa.Array], list[np.ndarray]]
 
 
 def masked(data: bytes) -> int:
@@ -58,11 +60,11 @@ class ShardWriter:
         self.dtype, self.offset, self.records, self.ids = np.dtype(dtype), 0, 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        payload = _ID.pack(doc_id is None, doc_id or 0) + ids.astype(self.dtype).tobytes()
+        payload = _ID.pack(doc_id is None, doc_id or 0) + ids.astype(self.dtype, copy=False).tobytes()
         length = struct.pack("<Q", len(payload))
         frame = b"".join([length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))])
         self.out.write(frame)
-        self.index_out.write(np.array([(self.offset, len(ids), doc_id is None, doc_id or 0)], INDEX).tobytes())
+        self.index_out.write(_ROW.pack(self.offset, len(ids), doc_id is None, doc_id or 0))
         self.offset, self.records, self.ids = self.offset + len(frame), self.records + 1, self.ids + len(ids)
 
     def close(self) -> None:
@@ -127,15 +129,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.chunks, self.parts = Memory(self._again, most=400_000), Memory(self._again, most=500_000)
+        self.chunks, self.parts = Memory(self._bytes, most=400_000), Memory(self._bytes, most=300_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _again(self, part: str) -> bytes:
-        """A part that was forgotten meanwhile."""
-        return self._bytes(self.tokenizer.encode(part, add_special_tokens=False).ids)
-
     def _cut(self, chunk: str) -> tuple[str, ...]:
         if chunk.isascii():
             word = chunk.lower().rstrip(self.MARKS)
@@ -143,14 +141,18 @@ class ChunkEncoder:
                 return (word, chunk[len(word) :]) if len(word) < len(chunk) else (word,)
         return (chunk,)
 
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """Encodes the chunks that are not remembered; returns those that are too long to be."""
+    def _learn(self, wanted: list[str]) -> list[bytes]:
+        """The ids of each of some distinct chunks."""
         chunks, parts, longest = self.chunks, self.parts, self.chunks.longest
-        cuts = {c: self._cut(c) for c in wanted.difference(chunks).difference(chunks.old)}
+        known, before = chunks.get, chunks.old.get
+        out = list(map(known, wanted))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = before(wanted[i])
+        cuts = {i: self._cut(wanted[i]) for i in missing if out[i] is None}
         new = list(set(chain.from_iterable(cuts.values())).difference(parts).difference(parts.old))
         made = {p: self._bytes(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        old, young, found = parts.old, parts.get, {}
-        find = made.get
+        old, young, find = parts.old, parts.get, made.get
 
         def ids_of(p: str) -> bytes:
             ids = find(p)
@@ -160,28 +162,33 @@ class ChunkEncoder:
                     ids = made[p] = old[p]
             return ids
 
-        for c, cut in cuts.items():
-            found[c] = ids_of(cut[0]) if len(cut) == 1 else ids_of(cut[0]) + ids_of(cut[1])
+        for i, cut in cuts.items():
+            out[i] = ids_of(cut[0]) if len(cut) == 1 else ids_of(cut[0]) + ids_of(cut[1])
         if len(parts) + len(made) > parts.most:
             parts.turn()
         parts.update((p, ids) for p, ids in made.items() if len(p) <= longest)
-        if len(chunks) + len(found) > chunks.most:
+        if len(chunks) + len(missing) > chunks.most:
             chunks.turn()
-        long = {c: found.pop(c) for c in [c for c in found if len(c) > longest]}
-        chunks.update(found)
-        return long
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]  # as the tokenizer does; special tokens are left to it
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        long = self._learn(set().union(*cut))
-        chunks, long = self.chunks, long or None
-        out = []
-        for c in cut:
-            find = chunks.__getitem__ if long is None or long.keys().isdisjoint(c) else (lambda x: long[x] if x in long else chunks[x])
-            out.append(np.frombuffer(b"".join(map(find, c)), self.dtype))
+        chunks.update((c, out[i]) for i in missing if len(c := wanted[i]) <= longest)
         return out
 
+    def __call__(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text. Arrow cuts the texts and numbers their distinct chunks; numpy puts the ids together."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not pc.any(pc.match_substring(column, "<|")).as_py():
+            column = pc.ascii_lower(column)  # as the tokenizer does; special tokens are left to it
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self._learn(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        pool, first = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        size = size[at]
+        end = np.concatenate([[0], np.cumsum(size)])
+        flat = pool[np.repeat(first[at] - end[:-1], size) + np.arange(end[-1])]
+        bounds = end[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
 
 @cache
 def chunk_encoder(path: str, dtype: str) -> ChunkEncoder:
@@ -210,7 +217,7 @@ def write_records(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int,
         shard, encode, out = TaskContext.get().partitionId(), encoder(), None
         for batch in slices(batches, "text", 8 << 20):
             out = out or ShardWriter(folder, f"{shard:06d}-{uuid.uuid4().hex}", dtype)
-            for d, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch.column(1))), strict=True):
+            for d, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 out.add(d, np.append(ids, np.array([end_id], ids.dtype)))
         if out:
             out.close()
