@@ -34,8 +34,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, by digest, and that they decode to its text."""
-    return bpe.encoding_digests(docs, queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern())
+    """The token ids of every document, by digest, and that they decode to its text. Workers have served other stages, so they remember less."""
+    return bpe.encoding_digests(docs, queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern(), remember=120_000)
 
 
 def _shipped(stage):

@@ -26,13 +26,16 @@ from helixmill.llm.chunks import SINGLE_SPACE, Memory
 from helixmill.llm.common import slices, texts_of
 
 
+#: Chunks and pre-tokens that a worker remembers, in each of two generations: about 300 MB in all.
+REMEMBER = 400_000
+
 _BITS = [1 << i for i in range(256)]
 
 
 class ByteBPE:
     """Encoding and decoding by a file of ranks: a line per token, its bytes in base64 and its rank, which is its id."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remember: int = REMEMBER):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes = {v: k for k, v in self.ranks.items()}
@@ -44,9 +47,9 @@ class ByteBPE:
         # white space as the property of that name, which is what the pattern's library means by \s
         stated = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(stated).findall
-        self.tokens = Memory(self._token, most=120_000)
+        self.tokens = Memory(self._token, most=remember)
         self.first = Memory(self._chunk)
-        self.after_space = Memory(lambda chunk: None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._chunk(" " + chunk), most=200_000)
+        self.after_space = Memory(lambda chunk: None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._chunk(" " + chunk), most=remember)
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -144,12 +147,12 @@ class ByteBPE:
 
 
 @cache
-def loaded(path: str, pattern: str) -> ByteBPE:
+def loaded(path: str, pattern: str, remember: int = REMEMBER) -> ByteBPE:
     """One for each Python worker."""
-    return ByteBPE(path, pattern)
+    return ByteBPE(path, pattern, remember)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """(doc_id, ids binary, decoded binary): the ids of every whole text, and the bytes that they decode to.
 
     A null text counts as the empty one, with no ids. Rows are independent: repeated rows give repeated
@@ -157,7 +160,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, pattern)
+        bpe = loaded(path, pattern, remember)
         for batch in slices(batches, "text"):
             ids = [bpe.encode(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
@@ -166,11 +169,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def encoding_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encoding_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded(), made in the same pass, so ids need not leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, pattern)
+        bpe = loaded(path, pattern, remember)
         for batch in slices(batches, "text"):
             n, a, b = [], [], []
             for t in texts_of(batch.column(1)):
