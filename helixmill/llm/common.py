@@ -1,44 +1,21 @@
-"""What the operators share: tables in the shared folder, slices of Arrow batches, 64-bit mixing, components of a graph."""
+"""What the operators share: slices of Arrow batches, 64-bit mixing, components of a graph."""
 
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word, for every operator here: characters other than space, tab, line feed, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-#: Where tables go if the session names no shared folder; single-machine sessions only (tests).
-LOCAL_SHARED = "/tmp/helixmill-shared"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. It is set only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or LOCAL_SHARED).rstrip("/")
-
+from helixmill.plans.tables import new_folder, stored
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/helixmill/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again.
-
-    It cuts the lineage: a lost executor costs the running tasks, not what went before. The table is not
-    deleted here, as the returned DataFrame reads it lazily; the folder belongs to the cluster's checkpoints.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "connected_components", "give_back", "mix", "new_folder", "only_some", "slices", "stored", "texts_of"]
 
+#: A word, for every operator here: characters other than space, tab, line feed, vertical tab, form feed, carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def texts_of(column: pa.Array) -> list[str]:
     """The strings of a column, a null as the empty string."""

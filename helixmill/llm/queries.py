@@ -87,5 +87,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_OP2 = r"""with recursive
+w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w),
+n as (select doc_id, len(s)::bigint as n from s),
+e as (select doc_id, unnest(s) as g from s),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+two as (select x, y from links union all select y, x from links),
+reach as (select doc_id as d, doc_id as r from n union select reach.d, two.y from reach join two on reach.r = two.x)
+select n.doc_id, n.n as n_shingles, (select min(r) from reach where reach.d = n.doc_id)::bigint as component_id, (select count(*) from two where two.x = n.doc_id)::bigint as n_links from n"""
+
+_OP3 = """with d as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+m as (select payload_digest as own, max(page_id) as of_page from d where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when of_page <> page_id then 'revisit' else 'response' end as record_type, case when of_page <> page_id then of_page end as refers_to
+from d left join m on payload_digest = own and payload_bytes >= 1000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL cannot state the other queries: tokenizers, seeded choices, learned models and 64-bit hashes."""
+    return {"op2_ngram_jaccard_join": _OP2, "op3_warc": _OP3}
