@@ -14,6 +14,7 @@ import random
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
@@ -129,16 +130,18 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.chunks, self.parts = Memory(self._bytes, most=400_000), Memory(self._bytes, most=300_000)
+        self.chunks, self.parts = Memory(self._bytes, most=600_000), Memory(self._bytes, most=600_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.dtype.char, ids).tobytes()
 
     def _cut(self, chunk: str) -> tuple[str, ...]:
         if chunk.isascii():
-            word = chunk.lower().rstrip(self.MARKS)
+            if chunk.isalpha():
+                return (chunk.lower(),)
+            word = chunk.rstrip(self.MARKS)
             if word.isalpha():
-                return (word, chunk[len(word) :]) if len(word) < len(chunk) else (word,)
+                return word.lower(), chunk[len(word) :]
         return (chunk,)
 
     def _learn(self, wanted: list[str]) -> list[bytes]:
