@@ -138,10 +138,6 @@ class ByteBPE:
         chunks = SINGLE_SPACE.split(text)
         return self.first[chunks[0]] + b"".join([self.first[" " + c] for c in chunks[1:]])
 
-    def rest(self) -> None:
-        for memory in (self.tokens, self.first, self.after_space):
-            memory.rest()
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -164,7 +160,6 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
         for batch in slices(batches, "text"):
             ids = [bpe.encode(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
-        bpe.rest()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
@@ -182,6 +177,5 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}), preserve_index=False).add_column(0, "doc_id", batch.column(0))
-        bpe.rest()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,3 @@ class Memory(dict):
         """The young generation becomes the old one."""
         self.old = dict(self)
         self.clear()
-
-    def rest(self) -> None:
-        """Forgets the old generation, for a worker that waits for its next task."""
-        self.old = {}
