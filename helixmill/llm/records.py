@@ -218,7 +218,7 @@ def write_records(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int,
         from pyspark import TaskContext
 
         shard, encode, out = TaskContext.get().partitionId(), encoder(), None
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 16 << 20):
             out = out or ShardWriter(folder, f"{shard:06d}-{uuid.uuid4().hex}", dtype)
             for d, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 out.add(d, np.append(ids, np.array([end_id], ids.dtype)))
