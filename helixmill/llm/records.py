@@ -130,7 +130,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.chunks, self.parts = Memory(self._bytes, most=600_000), Memory(self._bytes, most=600_000)
+        self.chunks, self.parts = Memory(self._bytes, most=500_000), Memory(self._bytes, most=500_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.dtype.char, ids).tobytes()
