@@ -54,6 +54,33 @@ def test_repeats_equal_brute_force_on_random_collections(spark):
     assert {tuple(r) for r in repeats.maximal_repeats(suffixes(rows), 3).collect()} == brute_repeats(seqs, 3)
 
 
+def brute_supermaximal(seqs, least):
+    """(seq, pos, len, others) by comparing all positions."""
+    at = [(s, i) for s, x in enumerate(seqs) for i in range(len(x))]
+    of = {(s, i): max([0] + [common(seqs[s][i:], seqs[t][j:]) for t, j in at if (t, j) != (s, i)]) for s, i in at}
+    out = set()
+    for (s, i), n in of.items():
+        if n >= least and (not i or of[s, i - 1] <= n):
+            part = seqs[s][i : i + n]
+            out.add((s, i, n, frozenset((t, j) for t, j in at if (t, j) != (s, i) and seqs[t].startswith(part, j))))
+    return out
+
+
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_repeats_of_a_doubled_table_equal_brute_force(spark):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choices("ACGT", k=rng.randint(0, 40))) for _ in range(5)] + ["A" * 9, "", "ACGTACGTACGT", "ACGTACGTACGT"]
+    rows = spark.createDataFrame([(i, str(i), s, len(s)) for i, s in enumerate(seqs)], "seq_id long, name string, seq string, len long")
+    doubled = suffixes(rows, "doubling")
+    assert {tuple(r) for r in repeats.maximal_repeats(doubled, 3).collect()} == brute_repeats(seqs, 3)
+    found = repeats.supermaximal_repeats(doubled, 3).collect()
+    assert {(r.seq, r.pos, r.len, frozenset(map(tuple, r.others))) for r in found} == brute_supermaximal(seqs, 3)
+    assert sorted(found) == sorted(repeats.supermaximal_repeats(suffixes(rows, "strings"), 3).collect())
+
+
 def test_store_and_sinks(spark, tmp_path):
     rows = sequences.generated(spark, 3, 5, 12, 4)
     table = suffixes(rows).cache()
