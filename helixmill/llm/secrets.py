@@ -57,6 +57,7 @@ def digest_text(spans: list[Span]) -> str:
 # Labelled credentials: fixed public formats, filled with seeded random characters.
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _MIXED = _LOWER + _UPPER + _DIGIT
+_MARKS = "+/_=-"
 _FORMATS = {
     "access_id": (("AKIA", "ASIA"), ((_UPPER + "234567", 16, 16),)),
     "repository": (("ghp_", "gho_", "ghs_", "ghu_"), ((_MIXED, 36, 36),)),
@@ -222,13 +223,17 @@ class Background:
         self.share = {(a, b): n / ones[a] for (a, b), n in pairs.items()}
         for a in _DIGIT:  # numbers are ordinary, whether the words show them or not
             self.share |= {(a, b): max(0.08, self.share.get((a, b), 0.0)) for b in _DIGIT}
+        for a in _MARKS:  # and so are rules and borders
+            self.share |= {(a, b): max(0.2, self.share.get((a, b), 0.0)) for b in _MARKS}
 
     def bits(self, s: str) -> float:
         return sum(math.log2((1 - self.SHARE) * self.share.get((a, b), 0) + self.SHARE * self.PRIOR.get(b, 0.01)) for a, b in zip("^" + s, s, strict=False))
 
 
-#: A candidate is a secret if a format explains it better than words by so many bits a character, and it has so many digits at least.
-LEAST_GAIN, LEAST_DIGITS = 2.0, 3
+#: A candidate is a secret if a format explains it better than words by so many bits a character.
+LEAST_GAIN = 2.0
+#: Tokens with so many digits teach the background model nothing.
+LEAST_DIGITS = 3
 #: Documents whose words teach the background model: those with the smallest hashes; and characters of each.
 SAMPLE, SAMPLE_CHARS = 1000, 4000
 
@@ -249,7 +254,7 @@ class Scanner:
         extra = []
         for m in _CANDIDATE.finditer(text):
             s = m.group()
-            if sum(c in _DIGIT for c in s) < LEAST_DIGITS or s.isdigit() or any(m.start() < e and b < m.end() for b, e, _ in found):
+            if any(m.start() < e and b < m.end() for b, e, _ in found):
                 continue
             if self.gain(s)[0] >= LEAST_GAIN:
                 extra.append((m.start(), m.end(), "auto"))

@@ -76,3 +76,12 @@ def test_redacted_keeps_rows_and_columns(spark):
     assert got.schema == docs.schema
     assert sorted(map(str, ((r.doc_id, r.text, r.n_chars) for r in got.collect()))) == sorted(map(str, [(1, "x <secret> y", 12), (2, None, 0), (3, "clean", 5), (3, "clean", 5)]))
     assert secrets.secrets_found(documents(spark, [])).collect() == []
+
+
+def test_spans_find_held_out_credentials_of_every_format():
+    scan = learned()
+    for name, found in secrets.labelled_credentials(200, seed=99).items():
+        hits = sum((4, 4 + len(s)) in {(b, e) for b, e, _ in scan.spans(f"see {s} here")} for s in found)
+        assert hits >= 0.95 * len(found), name
+    assert scan.spans("a quick-brown-fox-jumps-over theordinarysentenceteaches version-2024-01-lazy-dog") == []
+    assert scan.spans(" ".join(20 * m for m in "-_=/+") + " +-------+-------+ -=-=-=-=-=-=-=-=-=- 1234567890123456") == []
