@@ -29,6 +29,7 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a longest run, so the same as the runs of 20 or more
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 Span = tuple[int, int, str]
@@ -215,11 +216,27 @@ class Background:
     PRIOR = {**dict.fromkeys(_LOWER, 0.7 / 26), **dict.fromkeys(_DIGIT, 0.15 / 10), **dict.fromkeys(_UPPER, 0.1 / 26)}
 
     def __init__(self, words: Counter):
-        pairs, ones = Counter(), Counter()
+        self._learn(self.pairs(words))
+
+    @classmethod
+    def of_pairs(cls, pairs: Counter) -> Background:
+        out = cls.__new__(cls)
+        out._learn(pairs)
+        return out
+
+    @staticmethod
+    def pairs(words: Counter) -> Counter:
+        """How often each character comes after each other one; "^" is before a word."""
+        out: Counter = Counter()
         for w, n in words.items():
-            for a, b in zip("^" + w, w, strict=False):
-                pairs[a, b] += n
-                ones[a] += n
+            for ab in zip("^" + w, w, strict=False):
+                out[ab] += n
+        return out
+
+    def _learn(self, pairs: Counter) -> None:
+        ones: Counter = Counter()
+        for (a, _), n in pairs.items():
+            ones[a] += n
         self.share = {(a, b): n / ones[a] for (a, b), n in pairs.items()}
         for a in _DIGIT:  # numbers are ordinary, whether the words show them or not
             self.share |= {(a, b): max(0.08, self.share.get((a, b), 0.0)) for b in _DIGIT}
@@ -234,8 +251,6 @@ class Background:
 LEAST_GAIN = 2.0
 #: Tokens with so many digits teach the background model nothing.
 LEAST_DIGITS = 3
-#: Documents whose words teach the background model: those with the smallest hashes; and characters of each.
-SAMPLE, SAMPLE_CHARS = 1000, 4000
 
 
 @dataclass
@@ -261,19 +276,29 @@ class Scanner:
         return sorted(found + extra, key=_order) if extra else found
 
 
-def scanner_of(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Scanner:
-    """Automata from the labelled credentials, and a background from the words of a bounded sample of docs.
+def ordinary(words: Counter) -> Counter:
+    """The words without those that have LEAST_DIGITS digits or a base finding."""
+    return Counter({w: n for w, n in words.items() if sum(map(w.count, _DIGIT)) < LEAST_DIGITS and not base_spans(w)})
 
-    The sample is the documents with the smallest hashes of their text, so it is the same in every run. Tokens with a
-    base finding and those with three digits or more are left out of it.
+
+def scanner_of(docs: DataFrame, text: str = "text") -> Scanner:
+    """Automata from the labelled credentials, and a background from the words of all whole texts, copies included.
+
+    Character pairs are counted in the tasks and summed; the driver gets a row per pair, a few thousand at most.
     """
-    n = docs.count()
-    share = min(1.0, (2 * sample + 100) / max(n, 1))
-    rows = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).where("t is not null").where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64)))
-    words: Counter = Counter()
-    for r in rows.select("h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(sample).collect():
-        words.update(w for w in re.findall(r"[A-Za-z0-9+/_=-]+", r["t"]) if sum(c in _DIGIT for c in w) < LEAST_DIGITS and not base_spans(w))
-    return Scanner({name: Automaton(found) for name, found in labelled_credentials().items()}, Background(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in slices(batches, "text"):
+            words: Counter = Counter()
+            for t in texts_of(batch.column(0)):
+                words.update(_TOKEN.findall(t))
+            total.update(Background.pairs(ordinary(words)))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in total], pa.string()), pa.array([b for _, b in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["a", "b", "n"])
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = Counter({(r["a"], r["b"]): r["n"] for r in counted.collect()})
+    return Scanner({name: Automaton(found) for name, found in labelled_credentials().items()}, Background.of_pairs(pairs))
 
 
 def secrets_found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scanner: Scanner | None = None) -> DataFrame:

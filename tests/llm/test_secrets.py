@@ -85,3 +85,13 @@ def test_spans_find_held_out_credentials_of_every_format():
         assert hits >= 0.95 * len(found), name
     assert scan.spans("a quick-brown-fox-jumps-over theordinarysentenceteaches version-2024-01-lazy-dog") == []
     assert scan.spans(" ".join(20 * m for m in "-_=/+") + " +-------+-------+ -=-=-=-=-=-=-=-=-=- 1234567890123456") == []
+
+
+def test_the_background_is_of_all_whole_texts(spark):
+    far = "plain " * 1000 + "zqzqzq"
+    texts = [far, None, "", "token=abcdef99 a1b2c3"] + [f"word {'abc' * (i % 7)} {i}" for i in range(1500)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)] + [(i, "copies of one text", "en", "a") for i in range(1200)])
+    all_texts = [t for t in texts if t] + ["copies of one text"] * 1200
+    words = Counter(w for t in all_texts for w in re.findall("[A-Za-z0-9+/_=-]+", t) if sum(c.isdigit() for c in w) < 3 and not stated(w))
+    assert secrets.scanner_of(docs).background.share == secrets.Background(words).share
+    assert ("z", "q") in secrets.scanner_of(docs).background.share
