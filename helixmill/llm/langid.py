@@ -21,8 +21,10 @@ from helixmill.llm.common import mix, slices, texts_of
 SAMPLE = 400
 #: Characters of each of them.
 SAMPLE_CHARS = 4000
-#: Languages, at most: those with the most documents.
-LANGUAGES = 64
+#: Languages of one mask; more of them take further masks a cell.
+MASK = 64
+#: Languages whose samples are learned from at a time.
+TOGETHER = 64
 #: Sizes of n-grams, in characters, and how many of the most frequent n-grams of each size a language keeps.
 SIZES = (2, 3, 4)
 KEPT = {2: 300, 3: 1200, 4: 3000}
@@ -67,28 +69,43 @@ def _cells(g: np.ndarray) -> list[np.ndarray]:
     return [((h >> _U(24 * i)) & _U(CELLS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
+def best_grams(texts: list[str]) -> np.ndarray:
+    """The KEPT most frequent n-grams of each size (ties: the smaller number)."""
+    points, best = [letters(t) for t in texts], []
+    for n in SIZES:
+        found, count = np.unique(np.concatenate([grams(t, n) for t in points]), return_counts=True)
+        best.append(found[np.lexsort((found, -count))[: KEPT[n]]])
+    return np.concatenate(best)
+
+
 class Filter:
     """The filter, its languages, and per size of n-gram the share of false positives of each language."""
 
     def __init__(self, languages: list[str], cells: np.ndarray):
+        """cells: CELLS masks, or a row of CELLS masks for each MASK languages."""
         self.languages, self.cells = languages, cells
-        bits = np.array([(cells >> cells.dtype.type(k) & cells.dtype.type(1)).mean() for k in range(len(languages))])
+        self.words = [(row, min(MASK, len(languages) - MASK * i)) for i, row in enumerate(np.atleast_2d(cells)) if len(languages) > MASK * i]
+        bits = np.array([(row >> row.dtype.type(k) & row.dtype.type(1)).mean() for row, size in self.words for k in range(size)])
         self.false = bits**PROBES
 
     @classmethod
     def learned(cls, rows: list[tuple[str, str]]) -> Filter:
         """From (language, text). Each language keeps its most frequent n-grams of each size (ties: the smaller number)."""
-        languages = sorted({lang for lang, _ in rows})
-        dtype = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-        cells = np.zeros(CELLS, dtype)
+        of: dict[str, list[str]] = {}
+        for lang, t in rows:
+            of.setdefault(lang, []).append(t)
+        return cls.of_best({lang: best_grams(texts) for lang, texts in of.items()})
+
+    @classmethod
+    def of_best(cls, best: dict[str, np.ndarray]) -> Filter:
+        """From the n-grams that each language keeps."""
+        languages = sorted(best)
+        dtype = next((t for t in (np.uint8, np.uint16, np.uint32) if np.dtype(t).itemsize * 8 >= len(languages)), np.uint64)
+        cells = np.zeros((max(1, -(-len(languages) // MASK)), CELLS), dtype)
         for k, lang in enumerate(languages):
-            texts = [letters(t) for own, t in rows if own == lang]
-            for n in SIZES:
-                found, count = np.unique(np.concatenate([grams(t, n) for t in texts]), return_counts=True)
-                best = found[np.lexsort((found, -count))[: KEPT[n]]]
-                for c in _cells(best):
-                    np.bitwise_or.at(cells, c, dtype(1 << k))
-        return cls(languages, cells)
+            for c in _cells(best[lang]):
+                np.bitwise_or.at(cells[k // MASK], c, dtype(1 << k % MASK))
+        return cls(languages, cells[0] if len(cells) == 1 else cells)
 
     def shares(self, points: np.ndarray) -> np.ndarray:
         """Per language, the share of the text's n-grams that it contains, corrected for false positives; the mean over sizes."""
@@ -98,14 +115,16 @@ class Filter:
             if not len(g):
                 continue
             sizes += 1
-            mask = np.bitwise_and.reduce([self.cells[c] for c in _cells(g)])
-            if self.cells.dtype == np.uint8:
-                hits = np.bincount(mask, minlength=256) @ _SLICES[:, : len(self.languages)]
-            else:
-                hits = np.array([np.count_nonzero(mask & mask.dtype.type(1 << k)) for k in range(len(self.languages))])
+            at = _cells(g)
+            hits = np.concatenate([self._hits(np.bitwise_and.reduce([row[c] for c in at]), size) for row, size in self.words])
             out += np.clip((hits / len(g) - self.false) / (1 - self.false), 0, 1)
         return out / max(sizes, 1)
 
+    def _hits(self, mask: np.ndarray, size: int) -> np.ndarray:
+        if mask.dtype == np.uint8:
+            return np.bincount(mask, minlength=256) @ _SLICES[:, :size]
+        return np.array([np.count_nonzero(mask & mask.dtype.type(1 << k)) for k in range(size)])
+
     def predict(self, text: str) -> tuple[str, float]:
         points = letters(text)
         if not len(points) or not self.languages:
@@ -123,17 +142,19 @@ def learn(docs: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str =
     """A filter from a bounded sample of the labelled rows: sample documents of each language, SAMPLE_CHARS characters each.
 
     Which documents those are depends on hashes of their text and doc_id alone, so it is the same in every run.
-    The driver gets LANGUAGES * sample * SAMPLE_CHARS characters at most.
+    All languages are learned, TOGETHER of them at a time, so the driver holds TOGETHER * sample * SAMPLE_CHARS characters
+    at most, besides the kept n-grams of each language.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.col(doc_id)).alias("h"), labelled.alias("of")).where("of and lang is not null and length(text) > 0")
     # Few of the documents of a language stay after its threshold hash; what stays is ranked exactly.
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Filter([], np.zeros(CELLS, np.uint8))
-    limit = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * sample + 100) / r[1])))))))
-    some = rows.withColumn("most", F.element_at(limit, F.col("lang"))).where("h <= most").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    best = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, sample).alias("rows"))
-    return Filter.learned([(r["lang"], x["text"]) for r in best.collect() for x in r["rows"]])
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
+    kept: dict[str, np.ndarray] = {}
+    for i in range(0, len(counts), TOGETHER):
+        limit = F.create_map(*(x for r in counts[i : i + TOGETHER] for x in (F.lit(r[0]), F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * sample + 100) / r[1])))))))
+        some = rows.withColumn("most", F.element_at(limit, F.col("lang"))).where("h <= most").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        best = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, sample).alias("rows"))
+        kept |= {r["lang"]: best_grams([x["text"] for x in r["rows"]]) for r in best.collect()}
+    return Filter.of_best(kept)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,7 +171,7 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     """
     found = learn(docs, ~held_out(F.col(doc_id)), doc_id, text, lang)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((found.languages, found.cells))  # CELLS cells of 8 bytes at most
+    shared = spark.sparkContext.broadcast((found.languages, found.cells))  # CELLS cells of 8 bytes for each MASK languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Filter(*shared.value)

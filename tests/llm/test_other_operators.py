@@ -156,6 +156,17 @@ def test_op6_of_hard_rows(spark):
     assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
 
 
+def test_op6_learns_more_languages_than_a_mask_has_bits(spark):
+    def word(k):
+        return "".join(chr(0x4E00 + 40 * k + i) for i in range(12))
+
+    rows = [(100 * k + i, f"{word(k)} {word(k)[::-1]}", f"l{k:03}", "s") for k in range(150) for i in range(4 + k % 3)]
+    found = langid.identified(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    of = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == of[r.doc_id] for r in found if any(zlib.crc32(str(d).encode()) % 4 != 2 for d, lang in of.items() if lang == of[r.doc_id]))
+
+
 def test_the_filter_has_every_ngram_it_learned():
     rows = [("aa", "the cat sat on the mat"), ("bb", "der hund und die katze")] * 3
     found = langid.Filter.learned(rows)
