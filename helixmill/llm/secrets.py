@@ -16,6 +16,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,12 +227,14 @@ class Background:
 
     @staticmethod
     def pairs(words: Counter) -> Counter:
-        """How often each character comes after each other one; "^" is before a word."""
-        out: Counter = Counter()
-        for w, n in words.items():
-            for ab in zip("^" + w, w, strict=False):
-                out[ab] += n
-        return out
+        """How often each character comes after each other one in words of ASCII; "^" is before a word, and in none."""
+        if not words:
+            return Counter()
+        points = np.frombuffer(("^" + "^".join(words)).encode("ascii"), np.uint8).astype(np.int64)
+        weights = np.repeat(np.fromiter(words.values(), np.int64), [len(w) + 1 for w in words])
+        code = points[:-1] * 128 + points[1:]
+        counts = np.bincount(code[points[1:] != 94], weights=weights[1:][points[1:] != 94])  # exact up to 2^53
+        return Counter({(chr(c // 128), chr(c % 128)): int(counts[c]) for c in np.flatnonzero(counts).tolist()})
 
     def _learn(self, pairs: Counter) -> None:
         ones: Counter = Counter()
@@ -251,6 +254,7 @@ class Background:
 LEAST_GAIN = 2.0
 #: Tokens with so many digits teach the background model nothing.
 LEAST_DIGITS = 3
+_NUMBERED = re.compile(f"(?:[0-9][^0-9]*){{{LEAST_DIGITS}}}")
 
 
 @dataclass
@@ -278,7 +282,7 @@ class Scanner:
 
 def ordinary(words: Counter) -> Counter:
     """The words without those that have LEAST_DIGITS digits or a base finding."""
-    return Counter({w: n for w, n in words.items() if sum(map(w.count, _DIGIT)) < LEAST_DIGITS and not base_spans(w)})
+    return Counter({w: n for w, n in words.items() if not _NUMBERED.search(w) and not (len(w) >= 12 and base_spans(w))})  # the shortest finding is token=abcdef
 
 
 def scanner_of(docs: DataFrame, text: str = "text") -> Scanner:
