@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.llm.native import SPACE, jensen_shannon, let, window_hashes, word_hashes, words
+from helixmill.plans.tables import stored
 
 WINDOW = 5
-#: Common words of a reference, and their longest in bytes.
-COMMON, COMMON_BYTES = 24, 6
+#: Common words of a reference, and their longest in bytes: any length, as scripts differ in bytes a letter.
+COMMON, COMMON_BYTES = 24, float("inf")
 #: No verdict on documents with fewer words.
 LEAST_WORDS = 50
-#: A reference needs so many documents and words; there are at most so many references (those with the most words).
-LEAST_DOCUMENTS, LEAST_REFERENCE_WORDS, REFERENCES = 10, 2000, 64
+#: A reference needs so many documents and words.
+LEAST_DOCUMENTS, LEAST_REFERENCE_WORDS = 10, 2000
+#: References (about a kilobyte each) up to which they are broadcast.
+BROADCAST = 1 << 12
 #: A distance is too large beyond base + slope / sqrt(words).
 CLASS_LIMIT = (0.20, 0.70)
 WORD_LIMIT = (0.16, 1.60)
@@ -81,7 +84,7 @@ def symbols(text: Column) -> Column:
 def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, common, word_shares, class_shares) of each language with enough text, from all of its documents.
 
-    common has the COMMON most frequent words of up to COMMON_BYTES bytes, letters only (ties by the word);
+    common has the COMMON most frequent words of letters only (ties by the word), which may be none;
     word_shares their shares of all words, and last that of the rest. Counts are summed in their tasks before they are shuffled.
     """
     texts = docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("lang is not null")
@@ -89,15 +92,15 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
     counted = texts.select("lang", F.size("words").alias("n"), char_classes(F.col("text"), F.col("spaces")).alias("classes"))
     classes = counted.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("words"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(6)))
     classes = classes.withColumn("all", sum((F.col(f"c{i}") for i in range(1, 6)), F.col("c0")))
-    seen = texts.select("lang", F.explode(F.filter("words", lambda w: F.octet_length(w) <= COMMON_BYTES)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    seen = texts.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     ranked = seen.where(F.col("word").rlike("^\\p{L}+$")).select("lang", F.struct((-F.col("n")).alias("m"), "word").alias("b"))
     # first the best of 32 parts of a language, then of the language: no window holds a whole vocabulary
     for by in (["lang", F.pmod(F.xxhash64("b.word"), F.lit(32))], ["lang"]):
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("b"))).where(F.col("r") <= COMMON)
     best = ranked.groupBy("lang").agg(F.sort_array(F.collect_list("b")).alias("best"))
-    out = best.join(classes, "lang").where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("words") >= LEAST_REFERENCE_WORDS))
+    out = classes.join(best, "lang", "left").withColumn("best", F.coalesce("best", F.array().cast(best.schema["best"].dataType))).where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("words") >= LEAST_REFERENCE_WORDS))
     shares = F.transform("best", lambda b: -b["m"] / F.col("words"))
-    return out.orderBy(F.col("words").desc(), "lang").limit(REFERENCES).select(
+    return out.select(
         "lang", F.transform("best", lambda b: b["word"]).alias("common"),
         F.concat(shares, F.array(1 - F.aggregate(shares, F.lit(0.0), lambda t, x: t + x))).alias("word_shares"),
         F.array(*(F.col(f"c{i}") / F.col("all") for i in range(6))).alias("class_shares"),
@@ -119,26 +122,22 @@ def judged(docs: DataFrame, lang: str = "lang", text: str = "text", known: DataF
 
     - A null text counts as the empty one: no words, so base_failed.
     - A null lang, or one without a reference, has no distances (null) and is judged by the base rules alone;
-      so is a document of fewer than LEAST_WORDS words. Repeated rows are judged alike. All columns stay.
+      so is a document of fewer than LEAST_WORDS words. A language without words of letters only has no word distance. Repeated rows are judged alike. All columns stay.
     """
     known = references(docs, lang, text) if known is None else known
-    rows = known.collect()  # at most REFERENCES rows of COMMON words
-    spark = docs.sparkSession
-    lit = lambda r: F.struct(F.lit(r["lang"]).alias("__lang"), F.array(*(F.xxhash64(F.lit(w)) for w in r["common"])).alias("__common"), F.array(*map(F.lit, r["word_shares"])).alias("__word_shares"), F.array(*map(F.lit, r["class_shares"])).alias("__class_shares"))
-    if rows:
-        table = spark.range(1).select(F.inline(F.array(*map(lit, rows))))
-    else:
-        table = spark.range(0).select(F.lit(None).cast("string").alias("__lang"), *(F.lit(None).cast(t).alias(c) for c, t in (("__common", "array<bigint>"), ("__word_shares", "array<double>"), ("__class_shares", "array<double>"))))
+    known = stored(known, "references")
+    table = known.select(F.col("lang").alias("__lang"), F.transform("common", lambda w: F.xxhash64(w)).alias("__common"), F.col("word_shares").alias("__word_shares"), F.col("class_shares").alias("__class_shares"))
+    table = F.broadcast(table) if known.count() <= BROADCAST else table
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("__words", words(body)).withColumn("__n", F.size("__words")).withColumn("__hashes", word_hashes(F.col("__words")))
-    out = out.join(F.broadcast(table), F.col(lang) == F.col("__lang"), "left")
+    out = out.join(table, F.col(lang) == F.col("__lang"), "left")
     long = (F.col("__n") >= LEAST_WORDS) & F.col("__lang").isNotNull()
     out = with_repeated_words(out, "__hashes", "__repeat").withColumn("__chars", F.char_length(F.array_join("__words", "")))
     shares = let(char_classes(body, F.char_length(body) - F.col("__chars")), lambda c: F.transform(c, lambda x: x / F.greatest(F.char_length(body), F.lit(1))))
     out = out.withColumns(
         {
             "__class": F.when(long, jensen_shannon(shares, F.col("__class_shares"))),
-            "__word": F.when(long, jensen_shannon(common_shares(F.col("__hashes"), F.col("__n"), F.col("__common")), F.col("__word_shares"))),
+            "__word": F.when(long & (F.size("__common") > 0), jensen_shannon(common_shares(F.col("__hashes"), F.col("__n"), F.col("__common")), F.col("__word_shares"))),
             "__symbols": symbols(body), "__lines": duplicate_lines(body),
         }
     )

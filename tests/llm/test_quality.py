@@ -83,6 +83,20 @@ def test_good_documents_stay_and_most_bad_ones_go(spark):
     assert sum(bad) <= 0.06 * len(bad)
 
 
+def test_every_language_has_a_reference_whatever_its_script(spark):
+    rng = random.Random(8)
+    text = lambda words: " ".join(rng.choices(words, k=240))
+    cyrillic = ["который", "человек", "сказать", "и", "потому", "другой", "деревня"]
+    marked = ["हिन्दी", "में", "किताब", "मेरी", "की", "दिल्ली"]
+    langs = {f"l{k:02}": cyrillic for k in range(70)} | {"hi": [w for w in marked if not w.isalpha()]}
+    docs = documents(spark, [(100 * k + i, text(words), lang, "s") for k, (lang, words) in enumerate(langs.items()) for i in range(10)])
+    known = {r["lang"]: r for r in quality.references(docs).collect()}
+    assert set(known) == set(langs) and known["hi"]["common"] == []
+    assert set(known["l00"]["common"]) == set(cyrillic)
+    rows = quality.quality_rules(docs).collect()
+    assert all(r.class_distance is not None and (r.word_distance is None) == (r.doc_id // 100 == 70) for r in rows)
+
+
 def test_keep_good_returns_the_columns(spark):
     docs = documents(spark, HARD)
     got = quality.keep_good(docs)
