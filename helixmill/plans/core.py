@@ -246,7 +246,7 @@ best as (select name, i, max(n) as n from hit group by name, i)"""
 @query("ms_len", _with(_MS, "select pat.name, pat.i::bigint as i, coalesce(best.n, 0)::bigint as len from pat left join best on pat.name = best.name and pat.i = best.i"))
 def ms_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, patterns = _matched(spark, sf_dir)
-    return matching.matching_statistics(suffixes(own), patterns).select("name", "i", "len")
+    return matching.sharded_matching_statistics(own, patterns).select("name", "i", "len")
 
 
 @query("ms_pos_min", _with(_MS, "select pat.name, pat.i::bigint as i, coalesce(best.n, 0)::bigint as len, hit.pos::bigint as pos from pat left join best on pat.name = best.name and pat.i = best.i left join hit on hit.name = best.name and hit.i = best.i and hit.n = best.n"))

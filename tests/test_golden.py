@@ -103,6 +103,16 @@ def test_shards_find_the_same_lengths(spark, toy):
     assert sorted(map(str, whole)) == sorted(map(str, parts))
 
 
+def test_ms_len_is_not_bounded_by_the_broadcast(spark, sf_dir, monkeypatch):
+    from helixmill.plans import core
+
+    want = sorted(map(tuple, core.ms_len(spark, sf_dir).collect()))
+    own, patterns = core._matched(spark, sf_dir)
+    assert want == sorted(map(tuple, matching.matching_statistics(suffixes(own), patterns, on_bad="break").select("name", "i", "len").collect()))
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, core.ms_len(spark, sf_dir).collect())) == want
+
+
 def test_edge_cases(spark):
     table = suffixes(collection(spark, ["CCAGA", "GAATG"]))
     assert "".join(column(table, "sa_rank", "bwt")) == "AGGGCAC$TA$A"
