@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixmill.plans.tables import new_folder, stored
 
-__all__ = ["WORD", "connected_components", "give_back", "mix", "new_folder", "only_some", "slices", "stored", "texts_of"]
+__all__ = ["WORD", "connected_components", "give_back", "join_hot", "mix", "new_folder", "only_some", "slices", "stored", "texts_of"]
 
 #: A word, for every operator here: characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,24 +60,43 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x
 
 
+#: A key of more rows than HOT is hot, and of more if there would be over MOST_HOT such keys.
+HOT, MOST_HOT = 256, 50_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The inner join of rows with table on key, where a key may have any share of the rows.
+
+    table has a row per key; n is its number of rows, total the sum of those. The rows of hot keys stay where they are
+    and meet their row of table by a broadcast; each has over total / MOST_HOT rows, so there are at most MOST_HOT. All other
+    rows are joined by key.
+    """
+    most = max(HOT, total // MOST_HOT)
+    hot = F.broadcast(table.where(F.col(n) > most))
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= most), key))
+
+
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each is one aggregation and
-    one join on the node, neither needs the rows of a component in one place, and the edges never grow in
-    number. It ends when a round changes nothing, after O(log^2 n) rounds at most. Every round is stored.
+    one join on the node, neither needs the rows of a component in one place (join_hot), and the edges never grow in
+    number. It ends when a round changes nothing, after O(log^2 n) rounds at most. Every step is stored.
     An edge from a node to itself or with a null end is ignored, as are repeated edges.
     """
-    e = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     for _ in range(most_rounds):
+        n = e.count()
+        if not n:
+            break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        joined = e.join(least, "a")
-        e = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(joined.select("a", F.col("m").alias("b"))).distinct()
-        e = stored(e, name)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        e = stored(join_hot(both.where("b > a"), least, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = join_hot(e, least, "a", "n", n).select("a", "b", "m")
+        e = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+        e = stored(e.distinct(), name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "[ \\t-\\r]"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names for columns beside those of df: each with underscores behind it until no column of df has it (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once: a lambda computes an outer expression anew for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
