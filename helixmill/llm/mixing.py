@@ -3,7 +3,8 @@
 Each source's target is a number of words. Blocks of equally many words are allocated to sources by highest quotients
 target / 1, target / 3, target / 5, ..., and a source's blocks to its shards in the same way, by the words of the shard. A shard is
 a hash part of a source, of bounded size, whose documents in a seeded order make a stream of words. It is taken
-as often as its quota holds it whole; the rest is made of blocks in a seeded order, the last of them in part.
+as often as its quota holds it whole; the rest is made of blocks in a seeded order, the last of them in part. Where documents
+stay whole, those that begin in the first blocks of that order are taken, up to the quota.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from heapq import heapify, heapreplace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import stored
-from helixmill.llm.native import words
+from helixmill.llm.native import unused, words
+from helixmill.plans.tables import ranked
 
 #: No document is taken more often.
 MOST_TIMES = 3
@@ -69,18 +71,43 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return out
 
 
+def shard_quotas(shards: DataFrame) -> DataFrame:
+    """(of, shard, words, seats) from (of, shard, words, quota, total): sainte_lague() of each source's quota among its shards, by columns.
+
+    Seats by rounding come near the result; how near, follows from the seats that are too many or too few in all. So only a few seats
+    of each shard are in doubt; their quotients are ranked over all sources at once.
+    """
+    share = F.col("words") * F.col("quota") / F.greatest("total", F.lit(1))
+    base = shards.withColumn("base", F.floor(share + 0.5))
+    off = base.groupBy("of").agg((F.first("quota") - F.sum("base")).alias("off")).withColumnRenamed("of", "own")
+    base = base.join(off, F.col("of").eqNullSafe(F.col("own"))).drop("own")
+    doubt = 2 + F.ceil(F.abs("off") * F.col("words") / F.greatest("total", F.lit(1)))
+    base = stored(base.withColumn("doubt", F.when(F.col("words") > 0, doubt).otherwise(0)).withColumn("sure", F.greatest(F.lit(0), F.col("base") - F.col("doubt"))), "doubts")
+    seats = base.where("doubt > 0").select("of", "shard", F.explode(F.sequence(F.col("sure") + 1, F.col("base") + F.col("doubt"))).alias("k"), "words")
+    seats = ranked(seats.withColumn("quotient", F.col("words") / (2 * F.col("k") - 1)), "at", F.col("of").asc_nulls_first(), F.col("quotient").desc(), F.col("shard"), F.col("k"))
+    of = base.groupBy("of").agg((F.first("quota") - F.sum("sure")).alias("open")).join(seats.groupBy(F.col("of").alias("own")).agg(F.min("at").alias("first")), F.col("of").eqNullSafe(F.col("own"))).select("own", "open", "first")
+    won = seats.join(of, F.col("of").eqNullSafe(F.col("own"))).where("at - first < open").groupBy(F.col("of").alias("own"), F.col("shard").alias("own_shard")).agg(F.count("*").alias("won"))
+    out = base.join(won, F.col("of").eqNullSafe(F.col("own")) & (F.col("shard") == F.col("own_shard")), "left")
+    return out.select("of", "shard", "words", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("seats"))
+
+
+def _blocks(total: int, block: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of a stream's blocks, and their seeded order."""
+    blocks = -(-total // block)
+    length = np.full(blocks, block, np.int64)
+    length[-1] = total - (blocks - 1) * block
+    return length, np.random.Generator(np.random.PCG64(seed)).permutation(blocks)
+
+
 def taken_of(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray:
     """Words taken of each document of a stream, quota in all (at most MOST_TIMES the stream)."""
     total = int(sizes.sum())
     if not total:
         return np.zeros(len(sizes), np.int64)
     whole, rest = divmod(min(quota, MOST_TIMES * total), total)
-    blocks = -(-total // block)
-    length = np.full(blocks, block, np.int64)
-    length[-1] = total - (blocks - 1) * block
-    order = np.random.Generator(np.random.PCG64(seed)).permutation(blocks)
+    length, order = _blocks(total, block, seed)
     ends = np.cumsum(length[order])
-    chosen = np.zeros(blocks + 1, np.int64)
+    chosen = np.zeros(len(length) + 1, np.int64)
     chosen[order] = np.clip(rest - (ends - length[order]), 0, length[order])
     before = np.concatenate([[0], np.cumsum(chosen[:-1])])
     place = np.concatenate([[0], np.cumsum(sizes)])
@@ -88,18 +115,34 @@ def taken_of(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray
     return whole * sizes + np.diff(words_before)
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """(doc_id, text_hash, source, size, source_size, target, taken), a row per row of docs.
+def times_of(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray:
+    """How often each document of a stream is taken whole, so that their words come as near quota as the last one in the order lets them."""
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(len(sizes), np.int64)
+    whole, rest = divmod(min(max(quota, 0), MOST_TIMES * total), total)
+    length, order = _blocks(total, block, seed)
+    rank = np.empty(len(length), np.int64)
+    rank[order] = np.arange(len(length))
+    begins = np.cumsum(sizes) - sizes
+    has = np.flatnonzero(sizes)
+    has = has[np.argsort(rank[begins[has] // block], kind="stable")]
+    upto = np.cumsum(sizes[has])
+    n = int(np.searchsorted(upto, rest, "right"))  # the document after these goes beyond the quota
+    if n < len(has) and upto[n] - rest < rest - (upto[n - 1] if n else 0):
+        n += 1
+    out = np.full(len(sizes), whole, np.int64)
+    out[has[:n]] += 1
+    return out
 
-    size is the number of words of the text (null: 0), source_size that of its source. Sources in order of code
-    points, null last, weigh weights[0], weights[1], ..., repeating. taken is how many words the mix takes, repeats counted,
-    at most MOST_TIMES the size; its sum over a source is its target within one block, and one more per shard where a
-    target is MOST_TIMES the source. The result depends on the rows and seed alone, not on their order or partitions;
-    rows that are equal in doc_id and text may swap what is taken of them. An empty table gives an empty result.
-    The driver gets a row per source.
-    """
+
+_KEYS = ("doc_id", "text_hash", "row_hash")
+
+
+def _dealt(docs: DataFrame, weights: tuple[int, ...], seed: int) -> tuple[DataFrame, int]:
+    """docs(doc_id, text, source, row_hash) as rows without texts: their sizes, their source's size and target, and their shard and its quota of words. Also the block."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("text_hash"))
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"), "row_hash")
     sized = stored(sized, "sizes")
     found = sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -109,38 +152,70 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), doc_id: str = "
     quotas = sainte_lague(wanted, sum(sizes) // block)
     plan = [(r[0], r[1], t, q, max(1, -(-r[1] // SHARD_WORDS), -(-r[2] // SHARD_ROWS))) for r, t, q in zip(found, wanted, quotas, strict=True)]
     plan = spark.createDataFrame(plan, "of string, source_size long, target double, quota long, shards long")
-
-    rows = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).join(plan, F.col("source").eqNullSafe(F.col("of")), "left")
+    rows = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash", "row_hash")).join(plan, F.col("source").eqNullSafe(F.col("of")), "left")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), "shards"))
+    per_shard = rows.groupBy("of", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("source_size").alias("total"))
+    per_shard = shard_quotas(per_shard).select(F.col("of").alias("own"), F.col("shard").alias("own_shard"), F.least(F.col("seats") * block, MOST_TIMES * F.col("words")).alias("shard_quota"))
+    rows = rows.join(per_shard, F.col("source").eqNullSafe(F.col("own")) & (F.col("shard") == F.col("own_shard")))
+    return rows.select(*_KEYS, "source", "size", "source_size", "target", "h", "shard", "shard_quota"), block
 
-    def shares(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("shard")
-        q = sainte_lague(part["words"].tolist(), int(part["quota"].iloc[0]))
-        return pd.DataFrame({"own": part["of"], "own_shard": part["shard"], "shard_quota": np.minimum(np.array(q, np.int64) * block, MOST_TIMES * part["words"])})
 
-    per_shard = rows.groupBy("of", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
-    per_shard = per_shard.groupBy("of").applyInPandas(shares, "own string, own_shard long, shard_quota long")
-    rows = rows.join(per_shard, F.col("source").eqNullSafe(F.col("own")) & (F.col("shard") == F.col("own_shard")))
+def _chosen(rows: DataFrame, of, to: str, names: tuple[str, ...], block: int, seed: int) -> DataFrame:
+    """rows(names) with to: of() the sizes of a shard's stream."""
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", "doc_id", "text_hash"], kind="stable")
+        part = part.sort_values(["h", *_KEYS], kind="stable")
         own = part["source"].iloc[0]
         start = pd.util.hash_array(np.array([f"{seed}:{int(part['shard'].iloc[0])}:{'' if own is None else '=' + own}"], object))[0]
-        part["taken"] = taken_of(part["size"].to_numpy(np.int64), int(part["shard_quota"].iloc[0]), block, int(start))
-        return part[["doc_id", "text_hash", "source", "size", "source_size", "target", "taken"]]
+        part[to] = of(part["size"].to_numpy(np.int64), int(part["shard_quota"].iloc[0]), block, int(start))
+        return part[[*names, to]]
+
+    types = dict(rows.dtypes)
+    return rows.groupBy("source", "shard").applyInPandas(choose, ", ".join(f"{c} {types[c]}" for c in names) + f", {to} long")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """(doc_id, text_hash, source, size, source_size, target, taken), a row per row of docs.
+
+    size is the number of words of the text (null or empty: 0; a very long one is counted whole), source_size that of its source. Sources in order of code
+    points, null last, weigh weights[0], weights[1], ..., repeating. taken is how many words the mix takes, repeats counted,
+    at most MOST_TIMES the size; its sum over a source is its target within one block, and one more per shard where a
+    target is MOST_TIMES the source. The result depends on the rows and seed alone, not on their order or partitions;
+    rows that are equal in doc_id and text may swap what is taken of them. Other columns are not read, whatever their names;
+    an empty table gives an empty result. The driver gets a row per source.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.lit(0).cast("long").alias("row_hash"))
+    rows, block = _dealt(docs, weights, seed)
+    return _chosen(rows, taken_of, "taken", ("doc_id", "text_hash", "source", "size", "source_size", "target"), block, seed)
 
-    return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", "h", "shard", "shard_quota").groupBy("source", "shard").applyInPandas(choose, "doc_id long, text_hash long, source string, size long, source_size long, target double, taken long")
 
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is taken, MOST_TIMES at most, and always whole.
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs as the mix takes them: each row as many times as its taken words hold its text whole, and once more by the chance
-    of what is left, drawn from a hash of doc_id and text. Documents stay whole, and the words of a source come near its target.
-    Rows of no words stay once. All columns are returned as they came.
+    A shard's documents are taken in the seeded order of the blocks in which they begin, up to its quota; what the shards of a source leave
+    or take too much is made up in its first one, so that the words of a source come within a document of its target, as far as
+    that shard can make up for it. Rows of no words (null and empty texts) stay once; very long texts are taken whole or not. Of rows that
+    are equal in every column, any may be the ones taken. All columns are returned as they came, whatever their names; an empty table
+    gives an empty result.
     """
-    per_text = mixed(docs, seed=seed).groupBy("doc_id", "text_hash").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    per_text = per_text.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), (F.col("__taken") / F.greatest("__size", F.lit(1))).alias("__times"), "__size")
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = rows.join(per_text, rows["doc_id"].eqNullSafe(per_text["__id"]) & (F.col("__hash") == F.col("__of")))
-    chance = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "__hash"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__times") + chance)).cast("int")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.xxhash64(*(F.col(f"`{c}`") for c in hashed)).alias("row_hash"))
+    rows, block = _dealt(own, weights, seed)
+    names = (*_KEYS, "source", "size", "target", "h", "shard", "shard_quota")
+    rows = stored(_chosen(rows, times_of, "times", names, block, seed), "times")
+    off = rows.groupBy("source").agg((F.round(F.first("target")) - F.sum(F.col("size") * F.col("times"))).cast("long").alias("off"), F.min(F.when(F.col("size") > 0, F.col("shard"))).alias("at"))
+    off = off.select(F.col("source").alias("of"), "off", "at")
+    placed = rows.join(F.broadcast(off), F.col("source").eqNullSafe(F.col("of")), "left")  # a row per source, as the driver had
+    first = F.coalesce(F.col("shard") == F.col("at"), F.lit(False))
+    # the first shard's quota is what it took before and what is missing
+    again = placed.where(first).withColumn("took", F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("source", "shard"))).withColumn("shard_quota", F.col("took") + F.col("off"))
+    again = _chosen(again.select(*names), times_of, "times", names, block, seed)
+    per_row = placed.where(~first).select(*names, "times").unionByName(again).groupBy(*_KEYS).agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("times"))).alias("times"))
+    ids = unused(docs, "__id", "__text_hash", "__row_hash", "__times")
+    per_row = per_row.select(*(F.col(c).alias(name) for c, name in zip((*_KEYS, "times"), ids, strict=True)))
+    keyed = docs.withColumns({ids[1]: F.xxhash64("text"), ids[2]: F.xxhash64(*(F.col(f"`{c}`") for c in hashed))}).dropDuplicates(["doc_id", *ids[1:3]])
+    same = keyed["doc_id"].eqNullSafe(per_row[ids[0]])
+    for name in ids[1:3]:
+        same &= keyed[name] == per_row[name]
+    out = keyed.join(per_row.where(F.col(ids[3]) > 0), same)
+    return out.withColumn(ids[3], F.explode(F.array_repeat(F.lit(1), F.col(ids[3]).cast("int")))).select(*(keyed[c] for c in docs.columns))

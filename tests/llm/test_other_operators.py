@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,14 +120,58 @@ def test_taken_of_a_stream():
         assert taken.sum() == min(quota, 3 * sizes.sum()) and (taken <= 3 * sizes).all() and (taken >= 0).all()
 
 
-def test_mix_repeats_and_drops_whole_documents(spark, sf_dir):
-    docs = table(spark, sf_dir)
+def test_shard_quotas_equal_the_definition(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for k, source in enumerate(["a", "b", None, "c"]):
+        sizes = [rng.choice([0, 7, 1000, 1000, rng.randint(1, 5000)]) for _ in range(rng.randint(1, 30))]
+        quota = rng.randint(0, 300)
+        rows += [(source, i, x, quota, sum(sizes)) for i, x in enumerate(sizes)]
+        want[source] = (sizes, mixing.sainte_lague(sizes, quota))
+    got = mixing.shard_quotas(spark.createDataFrame(rows, "of string, shard long, words long, quota long, total long")).collect()
+    assert len(got) == len(rows)
+    for source, (sizes, seats) in want.items():
+        mine = [r.seats for r in sorted((r for r in got if r.of == source), key=lambda r: r.shard)]
+        quotient = lambda s: sorted(round(v / (2 * k + 1), 9) for v, n in zip(sizes, s, strict=True) for k in range(n))  # noqa: B023, E731
+        assert sum(mine) == sum(seats) and quotient(mine) == quotient(seats)
+
+
+def test_times_of_a_stream():
+    rng = np.random.default_rng(1)
+    for quota in (-5, 0, 7, 100, 1234, 5000, 10**6):
+        sizes = rng.integers(0, 90, 40)
+        times = mixing.times_of(sizes, quota, 16, 5)
+        near = min(max(quota, 0), 3 * sizes.sum())
+        assert abs((times * sizes).sum() - near) <= sizes.max() / 2 and times.max() <= 3 and times.min() >= 0
+    assert mixing.times_of(np.zeros(3, np.int64), 9, 4, 1).tolist() == [0, 0, 0]
+
+
+def check_mix(docs, slack=0):
+    """Whole rows; every source within a document of its target."""
     got = mixing.mix(docs)
     assert got.schema == docs.schema
-    assert got.join(docs, ["doc_id", "text"], "left_anti").count() == 0
-    assert got.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3 + 1
-    assert mixing.mix(documents(spark, HARD)).columns == docs.columns
-    assert mixing.mixed(documents(spark, [])).collect() == []
+    before, after = Counter(map(tuple, docs.collect())), Counter(map(tuple, got.collect()))
+    assert not set(after) - set(before) and all(n <= 3 * before[r] for r, n in after.items())
+    at, text = docs.columns.index("source"), docs.columns.index("text")
+    n = lambda r: len(WORD.findall(r[text] or ""))
+    assert all(after[r] == k for r, k in before.items() if not n(r))
+    sources = sorted({r[at] for r in before}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n(r) * k for r, k in before.items() if r[at] == s) for s in sources]
+    for source, target in zip(sources, stated_targets(sizes), strict=True):
+        longest = max(n(r) for r in before if r[at] == source)
+        assert abs(sum(n(r) * k for r, k in after.items() if r[at] == source) - target) <= longest / 2 + 1 + slack, source
+    return after
+
+
+def test_mix_takes_whole_documents_near_the_targets(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.01")
+    once = check_mix(docs)
+    assert Counter(map(tuple, mixing.mix(docs.repartition(5)).collect())) == once
+    check_mix(documents(spark, HARD))
+    check_mix(documents(spark, HARD).selectExpr("*", "doc_id as __id", "source as __times", "1 as __ROW_HASH", "'x' as of", "2 as size", "3 as h", "4 as shard"))
+    assert mixing.mix(documents(spark, [])).collect() == mixing.mixed(documents(spark, [])).collect() == []
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 20)  # many shards, and their errors made up in one
+    check_mix(docs)
 
 
 # Language

@@ -10,6 +10,7 @@ import corpus_pipeline
 from helixmill.llm import bpe, mixing, queries, secrets
 from tests.llm.common import HARD, documents, table
 from tests.llm.test_ngram_join import brute
+from tests.llm.test_other_operators import check_mix
 from tests.llm.test_quality import stated
 
 
@@ -52,8 +53,9 @@ def test_stages(spark, sf_dir, tmp_path, which):
     assert not any(secrets.base_spans(r.text or "") for r in after.collect())
     assert after.count() == before.count() and sum((Counter(clean) & rows_of(after)).values()) >= 0.99 * sum(clean.values())
 
-    _, before, after = found[3]  # whole rows, at most four times
-    assert not set(rows_of(after)) - set(rows_of(before)) and max(rows_of(after).values(), default=0) <= mixing.MOST_TIMES + 1
+    _, before, after = found[3]  # whole rows, every source near its target
+    check_mix(before)
+    assert rows_of(mixing.mix(before)) == rows_of(after)
 
     _, before, after = found[4]
     encoding = bpe.loaded(queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern())
