@@ -151,8 +151,8 @@ def loaded(path: str, pattern: str, remember: int = REMEMBER) -> ByteBPE:
 def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """(doc_id, ids binary, decoded binary): the ids of every whole text, and the bytes that they decode to.
 
-    A null text counts as the empty one, with no ids. Rows are independent: repeated rows give repeated
-    results, an empty table an empty one; other columns are not read.
+    A null text counts as the empty one, with no ids; a very long text is encoded whole, and so is a very long pre-token. A null doc_id stays
+    null. Rows are independent: repeated rows give repeated results, an empty table an empty one; other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +161,14 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
             ids = [bpe.encode(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded(), made in the same pass, so ids need not leave the worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded(), made in the same pass, so ids need not leave the worker.
+
+    Nulls, empty and very long texts, repeated rows, other columns and empty tables as there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern, remember)
@@ -178,4 +181,4 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}), preserve_index=False).add_column(0, "doc_id", batch.column(0))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -141,17 +141,18 @@ _SLICES = (np.arange(256)[:, None] >> np.arange(8)) & 1
 def learn(docs: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Filter:
     """A filter from a bounded sample of the labelled rows: sample documents of each language, SAMPLE_CHARS characters each.
 
-    Which documents those are depends on hashes of their text and doc_id alone, so it is the same in every run.
+    Which documents those are depends on hashes of their text and doc_id alone, so it is the same in every run; a repeated row counts once.
     All languages are learned, TOGETHER of them at a time, so the driver holds TOGETHER * sample * SAMPLE_CHARS characters
     at most, besides the kept n-grams of each language.
     """
+    # rows that are equal have equal hashes: one of them stays, so no list grows with them
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.col(doc_id)).alias("h"), labelled.alias("of")).where("of and lang is not null and length(text) > 0")
     # Few of the documents of a language stay after its threshold hash; what stays is ranked exactly.
-    counts = rows.groupBy("lang").count().orderBy("lang").collect()
+    counts = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy("lang").collect()
     kept: dict[str, np.ndarray] = {}
     for i in range(0, len(counts), TOGETHER):
         limit = F.create_map(*(x for r in counts[i : i + TOGETHER] for x in (F.lit(r[0]), F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * sample + 100) / r[1])))))))
-        some = rows.withColumn("most", F.element_at(limit, F.col("lang"))).where("h <= most").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        some = rows.withColumn("most", F.element_at(limit, F.col("lang"))).where("h <= most").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["lang", "h"])
         best = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, sample).alias("rows"))
         kept |= {r["lang"]: best_grams([x["text"] for x in r["rows"]]) for r in best.collect()}
     return Filter.of_best(kept)
@@ -166,8 +167,9 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     """(doc_id, held_out, lang_pred, score) for every whole text.
 
     lang_pred is a language learned from the rows that are not held out; und (score 0) if the text is null or has
-    no letter, or nothing could be learned. score is the share of the best among all languages' corrected counts.
-    Predictions read the text alone. Other columns are not read; an empty table gives an empty result.
+    no letter, or nothing could be learned. score is the share of the best among all languages' corrected counts; of equal ones the first by
+    name is taken. Predictions read the text alone, a very long one whole. Rows with a null doc_id are held out; repeated rows get equal
+    results. Other columns are not read, whatever their names; an empty table gives an empty result.
     """
     found = learn(docs, ~held_out(F.col(doc_id)), doc_id, text, lang)
     spark = docs.sparkSession
@@ -179,5 +181,5 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
             out = [model.predict(t) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

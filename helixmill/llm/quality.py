@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.native import SPACE, jensen_shannon, let, window_hashes, word_hashes, words
+from helixmill.llm.native import SPACE, jensen_shannon, let, unused, window_hashes, word_hashes, words
 from helixmill.plans.tables import stored
 
 WINDOW = 5
-#: Common words of a reference, and their longest in bytes: any length, as scripts differ in bytes a letter.
-COMMON, COMMON_BYTES = 24, float("inf")
+#: Common words of a reference.
+COMMON = 24
 #: No verdict on documents with fewer words.
 LEAST_WORDS = 50
 #: A reference needs so many documents and words.
@@ -64,9 +64,10 @@ def with_repeated_words(df: DataFrame, hashes: str, to: str, n: int = WINDOW) ->
     Most texts have none, which shows when the distinct windows are counted. A text of fewer than n words has no
     window; window_hashes gives it one, which cannot repeat. hashes: a column of word hashes.
     """
-    df = df.withColumn("__windows", window_hashes(F.col(hashes), n))
-    repeated = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    return df.withColumn(to, F.when(repeated, _covered(F.col("__windows"), n)).otherwise(F.lit(0))).drop("__windows")
+    (windows,) = unused(df, "windows")
+    df = df.withColumn(windows, window_hashes(F.col(hashes), n))
+    repeated = F.size(F.array_distinct(windows)) < F.size(windows)
+    return df.withColumn(to, F.when(repeated, _covered(F.col(windows), n)).otherwise(F.lit(0))).drop(windows)
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -118,43 +119,47 @@ def common_shares(hashes: Column, n: Column, common: Column) -> Column:
 
 
 def judged(docs: DataFrame, lang: str = "lang", text: str = "text", known: DataFrame | None = None) -> DataFrame:
-    """docs with a struct column __quality: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
+    """(row, quality) for each row of docs: its columns in a struct, and a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
-    - A null text counts as the empty one: no words, so base_failed.
+    - A null text counts as the empty one: no words, so base_failed. A very long text is judged whole.
     - A null lang, or one without a reference, has no distances (null) and is judged by the base rules alone;
-      so is a document of fewer than LEAST_WORDS words. A language without words of letters only has no word distance. Repeated rows are judged alike. All columns stay.
+      so is a document of fewer than LEAST_WORDS words. A language without words of letters only has no word distance.
+    - Repeated rows are judged alike. Columns may have any names. An empty table gives an empty result.
     """
     known = references(docs, lang, text) if known is None else known
     known = stored(known, "references")
-    table = known.select(F.col("lang").alias("__lang"), F.transform("common", lambda w: F.xxhash64(w)).alias("__common"), F.col("word_shares").alias("__word_shares"), F.col("class_shares").alias("__class_shares"))
+    table = known.select("lang", F.transform("common", lambda w: F.xxhash64(w)).alias("common"), "word_shares", "class_shares")
     table = F.broadcast(table) if known.count() <= BROADCAST else table
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__words", words(body)).withColumn("__n", F.size("__words")).withColumn("__hashes", word_hashes(F.col("__words")))
-    out = out.join(table, F.col(lang) == F.col("__lang"), "left")
-    long = (F.col("__n") >= LEAST_WORDS) & F.col("__lang").isNotNull()
-    out = with_repeated_words(out, "__hashes", "__repeat").withColumn("__chars", F.char_length(F.array_join("__words", "")))
-    shares = let(char_classes(body, F.char_length(body) - F.col("__chars")), lambda c: F.transform(c, lambda x: x / F.greatest(F.char_length(body), F.lit(1))))
+    body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("words", words(body)).withColumn("n", F.size("words")).withColumn("hashes", word_hashes(F.col("words")))
+    out = out.join(table, F.col(f"row.{lang}") == F.col("lang"), "left")
+    long = (F.col("n") >= LEAST_WORDS) & F.col("lang").isNotNull()
+    out = with_repeated_words(out, "hashes", "repeat").withColumn("chars", F.char_length(F.array_join("words", "")))
+    shares = let(char_classes(body, F.char_length(body) - F.col("chars")), lambda c: F.transform(c, lambda x: x / F.greatest(F.char_length(body), F.lit(1))))
     out = out.withColumns(
         {
-            "__class": F.when(long, jensen_shannon(shares, F.col("__class_shares"))),
-            "__word": F.when(long & (F.size("__common") > 0), jensen_shannon(common_shares(F.col("__hashes"), F.col("__n"), F.col("__common")), F.col("__word_shares"))),
-            "__symbols": symbols(body), "__lines": duplicate_lines(body),
+            "class": F.when(long, jensen_shannon(shares, F.col("class_shares"))),
+            "word": F.when(long & (F.size("common") > 0), jensen_shannon(common_shares(F.col("hashes"), F.col("n"), F.col("common")), F.col("word_shares"))),
+            "symbols": symbols(body), "lines": duplicate_lines(body),
         }
     )
-    root = F.sqrt(F.greatest("__n", F.lit(1)))
-    failed = (F.col("__n") < 10) | (100 * F.col("__repeat") > 20 * F.col("__n"))
+    root = F.sqrt(F.greatest("n", F.lit(1)))
+    failed = (F.col("n") < 10) | (100 * F.col("repeat") > 20 * F.col("n"))
     far = lambda c, limit: F.coalesce(F.col(c) > limit[0] + limit[1] / root, F.lit(False))
-    kept = ~failed & ~far("__class", CLASS_LIMIT) & ~far("__word", WORD_LIMIT)
-    counts = {"n_words": "__n", "word_chars": "__chars", "n_symbols": "__symbols", "n_dup_lines": "__lines", "n_repeat_words": "__repeat"}
-    quality = F.struct(*(F.col(v).cast("long").alias(k) for k, v in counts.items()), failed.alias("base_failed"), F.col("__class").alias("class_distance"), F.col("__word").alias("word_distance"), kept.alias("kept"))
-    return out.select(*(docs[c] for c in docs.columns), quality.alias("__quality"))
+    kept = ~failed & ~far("class", CLASS_LIMIT) & ~far("word", WORD_LIMIT)
+    counts = {"n_words": "n", "word_chars": "chars", "n_symbols": "symbols", "n_dup_lines": "lines", "n_repeat_words": "repeat"}
+    quality = F.struct(*(F.col(v).cast("long").alias(k) for k, v in counts.items()), failed.alias("base_failed"), kept.alias("kept"), F.col("class").alias("class_distance"), F.col("word").alias("word_distance"))
+    return out.select("row", quality.alias("quality"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and the fields of judged(), a row per row of docs; an empty table gives an empty result."""
-    return judged(docs.select(F.col(doc_id).alias("doc_id"), "text", "lang")).select("doc_id", "__quality.*")
+    """doc_id and the quality of judged(), a row per row of docs; an empty table gives an empty result."""
+    return judged(docs.select(F.col(doc_id).alias("doc_id"), "text", "lang")).select("row.doc_id", "quality.*")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all columns as they came."""
-    return judged(docs).where("__quality.kept").drop("__quality")
+    """The rows of docs that the rules keep, repeated ones too, with all columns as they came, whatever their names.
+
+    A null or an empty text has no words and goes; a null lang is judged by the base rules. An empty table gives an empty result.
+    """
+    return judged(docs).where("quality.kept").select("row.*")

@@ -208,7 +208,8 @@ def write_records(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int,
     Shards are ranges of doc_id, each sorted by its own task. A task writes files of its own name; a task that is
     run again writes others, and only those of the task that ended well are in the result, which is a stored
     table of (shard, path, n_records, n_ids, start): start counts the ids of all shards before. A null text
-    counts as the empty one, null doc_ids come first, equal doc_ids by their text. Other columns are not read.
+    counts as the empty one, null doc_ids come first, equal doc_ids by their text; repeated rows are records each. A very long text
+    is encoded whole and is one record. Other columns are not read, whatever their names. An empty table gives no shard.
     """
     folder = folder or new_folder(docs.sparkSession, "records")
     dtype = "uint16" if vocabulary <= 1 << 16 else "uint32"
@@ -226,7 +227,7 @@ def write_records(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int,
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [out.path], "n_records": [out.records], "n_ids": [out.ids]})
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = texts.repartitionByRange(key).sortWithinPartitions(key, F.col("text").asc_nulls_first())
     shards = stored(dealt.mapInArrow(run, "shard long, path string, n_records long, n_ids long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per record

@@ -140,9 +140,7 @@ class Automaton:
                 if self._differ(p.seen[symbol], p.count, q.seen[symbol], q.count, bound):
                     return False
                 if symbol in p.next and symbol in q.next and p.next[symbol] != q.next[symbol]:
-                    todo.append((p.next[symbol], q.next[symbol]))
-                    if len(todo) > 10_000:
-                        return False
+                    todo.append((p.next[symbol], q.next[symbol]))  # b is the root of a tree, so this ends
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -268,14 +266,13 @@ class Scanner:
         return max(((a.bits(s) - base) / len(s), name) for name, a in self.formats.items())
 
     def spans(self, text: str) -> list[Span]:
-        """Base spans, and behind them in each place those of candidates that touch none of them and score as credentials."""
+        """Base spans, and behind them in each place those of candidates that score as credentials, if no base span holds them whole."""
         found = base_spans(text)
         extra = []
         for m in _CANDIDATE.finditer(text):
-            s = m.group()
-            if any(m.start() < e and b < m.end() for b, e, _ in found):
+            if any(b <= m.start() and m.end() <= e for b, e, _ in found):
                 continue
-            if self.gain(s)[0] >= LEAST_GAIN:
+            if self.gain(m.group())[0] >= LEAST_GAIN:
                 extra.append((m.start(), m.end(), "auto"))
         return sorted(found + extra, key=_order) if extra else found
 
@@ -306,11 +303,11 @@ def scanner_of(docs: DataFrame, text: str = "text") -> Scanner:
 
 
 def secrets_found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scanner: Scanner | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_auto, base_sha256, spans) of every whole text.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_auto) of every whole text.
 
     Spans are kind:start:end in code points, the end exclusive, by start, then kind, joined by commas. A null or an
-    empty text has none (empty string, and its digest). Repeated rows give repeated results; other columns are not
-    read; an empty table gives an empty result.
+    empty text has none (empty string, and its digest); a null doc_id stays null. A very long text is scanned whole, one at a
+    time. Repeated rows give repeated results; other columns are not read, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(scanner or scanner_of(docs, text))  # formats and character pairs: of fixed size
@@ -319,11 +316,14 @@ def secrets_found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         scan = shared.value
         for batch in slices(batches, "text"):
             spans = [scan.spans(t) for t in texts_of(batch.column(1))]
-            counts = [pa.array([sum(s[2] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
+            *counts, auto = [pa.array([sum(s[2] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
             base = [hashlib.sha256(digest_text([s for s in x if s[2] != "auto"]).encode()).hexdigest() for x in spans]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([digest_text(x) for x in spans], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *counts, pa.array(base, pa.string()), pa.array([digest_text(x) for x in spans], pa.string()), auto],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_auto"],
+            )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_auto long, base_sha256 string, spans string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_auto long")
 
 
 #: What stands for a secret in a text.
@@ -341,7 +341,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
-    """docs with secrets replaced in text, and n_chars (if there is one) counted again where a text changed; all rows and columns stay."""
+    """docs with secrets replaced in text, and n_chars (if there is one) counted again where a text changed.
+
+    All rows stay, repeated ones too, and all columns, whatever their names. A null and an empty text stay as they are; a very long one is
+    scanned and replaced whole. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(scanner or scanner_of(docs))
     names = docs.columns

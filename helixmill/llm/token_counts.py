@@ -162,8 +162,8 @@ def loaded(path: str) -> PieceCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every whole text.
 
-    A null text counts as the empty one: 0 bytes, 0 tokens. Repeated rows are counted alike, other columns
-    are not read, an empty table gives an empty result.
+    A null text counts as the empty one: 0 bytes, 0 tokens. A very long text is counted whole; it is in memory alone, as arrays. A null
+    doc_id stays null. Repeated rows are counted alike, other columns are not read, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +174,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "d
             size = pa.array([len(t.encode()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -57,7 +57,7 @@ def test_distances_equal_brute_force(spark):
     for lang, r in known.items():
         own = [t for _, t, own_lang in rows if own_lang == lang]
         words = Counter(w for t in own for w in WORD.findall(t))
-        common = sorted((-n, w) for w, n in words.items() if len(w.encode()) <= quality.COMMON_BYTES and w.isalpha())[: quality.COMMON]
+        common = sorted((-n, w) for w, n in words.items() if w.isalpha())[: quality.COMMON]
         assert r["common"] == [w for _, w in common]
         assert r["word_shares"][:-1] == pytest.approx([-n / sum(words.values()) for n, _ in common])
         assert r["class_shares"] == pytest.approx([x for x in histogram("".join(own))])
@@ -97,10 +97,23 @@ def test_every_language_has_a_reference_whatever_its_script(spark):
     assert all(r.class_distance is not None and (r.word_distance is None) == (r.doc_id // 100 == 70) for r in rows)
 
 
+def test_the_verdict_follows_from_the_distances(spark):
+    rows = quality.quality_rules(table(spark, "/root/testdata/sf0.01")).collect()
+    assert rows[0].__fields__[:8] == ["doc_id", *FIELDS, "kept"]
+    for r in rows:
+        root = math.sqrt(max(r.n_words, 1))
+        far = [d is not None and d > a + b / root for d, (a, b) in ((r.class_distance, quality.CLASS_LIMIT), (r.word_distance, quality.WORD_LIMIT))]
+        assert r.kept == (not r.base_failed and not any(far))
+    assert any(not r.kept and not r.base_failed for r in rows)
+
+
 def test_keep_good_returns_the_columns(spark):
     docs = documents(spark, HARD)
     got = quality.keep_good(docs)
     assert got.schema == docs.schema
+    good = "these are twelve plain words that should be kept as they are"
+    clash = documents(spark, [*HARD, (8, good, "en", "s")]).selectExpr("*", "1 as words", "2 as n", "3 as row", "4 as quality", "5 as hashes", "6 as __words", "7 as kept", "'x' as common", "8 as windows", "9 as class")
+    assert sorted(map(str, quality.keep_good(clash).collect())) == sorted(str(r) for r in clash.collect() if not stated(r.text)[-1])
     assert all(not stated(r.text)[-1] for r in got.collect())
     assert quality.quality_rules(documents(spark, [])).collect() == []
 
