@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixmill.plans.tables import new_folder, stored
 
-__all__ = ["WORD", "connected_components", "give_back", "join_hot", "mix", "new_folder", "only_some", "slices", "stored", "texts_of"]
+__all__ = ["WORD", "connected_components", "flagged", "give_back", "join_hot", "mix", "new_folder", "only_some", "slices", "stored", "texts_of"]
 
 #: A word, for every operator here: characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,8 +64,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 HOT, MOST_HOT = 256, 50_000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """The inner join of rows with table on key, where a key may have any share of the rows.
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """The inner or left join of rows with table on key, where a key may have any share of the rows.
 
     table has a row per key; n is its number of rows, total the sum of those. The rows of hot keys stay where they are
     and meet their row of table by a broadcast; each has over total / MOST_HOT rows, so there are at most MOST_HOT. All other
@@ -73,7 +73,7 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) ->
     """
     most = max(HOT, total // MOST_HOT)
     hot = F.broadcast(table.where(F.col(n) > most))
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= most), key))
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= most), key, how))
 
 
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -111,15 +111,20 @@ FILTER_BITS = 1 << 26
 
 
 def only_some(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """df with nearly only the rows whose key is among those of wanted, all of these included; ahead of a join, to shuffle less.
+    """df with nearly only the rows whose key is among those of wanted, all of these included; ahead of a join, to shuffle less."""
+    return flagged(df, key, wanted, wanted_key, "__wanted").where("__wanted").drop("__wanted")
+
+
+def flagged(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, to: str) -> DataFrame:
+    """df with a boolean to: false only where key is not among those of wanted.
 
     A bitmap of the hashed keys is broadcast: 16 bits a key, in pieces of 4 KB, and FILTER_BITS at most. With
-    more keys than that it lets more rows through, and the join that follows does the rest.
+    more keys than that it flags more rows, and the join that follows does the rest.
     """
     bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * wanted.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) + 1
     pieces = wanted.select(place(wanted_key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
     found = df.withColumn("__p", place(key)).withColumn("__of", F.bitmap_bucket_number("__p")).withColumn("__p", F.bitmap_bit_position("__p"))
-    found = found.join(F.broadcast(pieces), F.col("__of") == F.col("__piece"))
+    found = found.join(F.broadcast(pieces), F.col("__of") == F.col("__piece"), "left")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return found.where(F.getbit(byte, (F.col("__p") % 8).cast("int")) == 1).select(*df.columns)
+    return found.select(*df.columns, F.coalesce(F.getbit(byte, (F.col("__p") % 8).cast("int")) == 1, F.lit(False)).alias(to))

@@ -7,10 +7,13 @@ containment and the number of distinct shingles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.native import window_hashes, word_hashes, words
+from helixmill.llm.common import only_some, stored
+from helixmill.llm.native import let, window_hashes, word_hashes, words
 
 K = 128
 SHINGLE = 5
@@ -52,58 +55,56 @@ def as_text(a: Column) -> Column:
 
 def merge_sketches(parts: DataFrame, key: str, column: str = "sketch", k: int = K) -> DataFrame:
     """(key, sketch) from the sketches of parts. No array grows beyond k: hashes are ranked, not collected whole."""
-    from pyspark.sql import Window
-
     one = parts.select(key, F.explode_outer(column).alias("h")).distinct()
     ranked = one.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("h").asc_nulls_last()))).where(F.col("r") <= k)
     return ranked.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
-#: Rows of a bucket, about.
-BUCKET_ROWS = 8192
+#: Rows of a bucket, about; so many bounds at most are literals of a plan, and buckets between two of them are of equal width.
+BUCKET_ROWS, BOUNDS = 8192, 2048
 
 
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most doc_id (0 for a null), by binary search in a literal array."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*(F.lit(x) for x in bounds))
+def _bucket(doc_id: Column, bounds: list[int], least: int, most: int, fine: int) -> Column:
+    """The bucket of a doc_id (-1 for a null): of the ranges between bounds, found by binary search in a literal array, each is cut into fine parts of equal width."""
+    ends = F.array(*(F.lit(x).cast("long") for x in [least, *bounds, most + 1]))
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
-    at = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(array, p + s - 1) <= doc_id), p + s).otherwise(p))
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(at)
+
+    def found(p: Column) -> Column:
+        low, high = F.get(ends, p).cast("double"), F.get(ends, p + 1).cast("double")
+        part = F.floor((doc_id.cast("double") - low) / (high - low) * fine).cast("long")
+        return p.cast("long") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.coalesce(part, F.lit(0))))
+
+    at = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(ends, p + s) <= doc_id), p + s).otherwise(p)) if bounds else F.lit(0)
+    return F.when(doc_id.isNull(), F.lit(-1).cast("long")).otherwise(let(at, found))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """(doc_id, text, *carry) and next_text, next_<carry>: those of the row that follows in order of doc_id (nulls first), then text.
 
-    The last row is followed by the first. Rows are dealt into buckets by quantiles of doc_id; the first
-    rows of the next bucket also go, as ghosts, behind the last of the bucket before. So no task has to see all rows,
-    and a text is shuffled once. What the driver gets is three numbers a bucket.
+    carry: columns that are made of a text. The last row is followed by the first. Rows are dealt into buckets by quantiles of
+    doc_id; the first rows of the next bucket also go, as ghosts, behind the last of the bucket before. So no task has to
+    see all rows, and a text is shuffled once. There is a bucket for about BUCKET_ROWS rows, however many that are; the driver gets BOUNDS numbers.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry)
+    spark, carry = docs.sparkSession, carry or {}
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = docs.count()
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = min(max(-(-n // BUCKET_ROWS), 3 * width if n > 50 * width else 1), 1 << 16)
-    cuts = [i / count for i in range(1, count)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 20 * count)).first()[0] or [])) if cuts else []
-    dealt = docs.withColumn("__bucket", _bucket(F.col("doc_id"), bounds))
-    firsts = {r[0]: r[1][0] for r in dealt.groupBy("__bucket").agg(F.min(F.struct("doc_id"))).collect()}
-    if not firsts:
-        return docs.select("*", F.col("text").alias("next_text"), *(F.col(c).alias(f"next_{c}") for c in carry))
-    order = sorted(firsts)
-    before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
-    size = max(order) + 1
-    first = F.get(F.array(*(F.lit(firsts.get(i)).cast("long") for i in range(size))), F.col("__bucket"))
-    to = F.get(F.array(*(F.lit(before.get(i)).cast("int") for i in range(size))), F.col("__bucket"))
-    own = F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("ghost"))
-    ghost = F.struct(to.alias("bucket"), F.lit(True).alias("ghost"))
-    dealt = dealt.withColumn("__at", F.explode(F.when(F.col("doc_id").eqNullSafe(first), F.array(own, ghost)).otherwise(F.array(own))))
-    from pyspark.sql import Window
-
-    order_by = Window.partitionBy("__at.bucket").orderBy("__at.ghost", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    out = dealt.select("doc_id", "text", *carry, "__at", *(F.lead(c).over(order_by).alias(f"next_{c}") for c in ("text", *carry)))
-    return out.where("not __at.ghost").drop("__at")
+    count = max(-(-n // BUCKET_ROWS), 3 * width if n > 50 * width else 1)
+    cuts = [i / min(count, BOUNDS) for i in range(1, min(count, BOUNDS))]
+    quantiles = F.percentile_approx("doc_id", cuts, 20 * len(cuts)) if cuts else F.lit(None).cast("array<bigint>")
+    found = docs.agg(quantiles.alias("q"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    least, most = found["least"] or 0, found["most"] or 0
+    bounds = sorted({x for x in found["q"] or [] if least < x})
+    dealt = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds, least, most, -(-count // BOUNDS)))
+    firsts = stored(dealt.groupBy("bucket").agg(F.min(F.struct("doc_id")).alias("first")).select("bucket", F.col("first.doc_id").alias("first")), "buckets")
+    order = Window.orderBy("bucket")  # a row per bucket, not per document
+    last = firsts.agg(F.max("bucket")).first()[0]
+    to = firsts.select(F.col("bucket").alias("own"), "first", F.coalesce(F.lag("bucket").over(order), F.lit(last)).alias("to"))
+    ghosts = only_some(dealt, "doc_id", firsts, "first").join(to, (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    rows = dealt.select("doc_id", "text", "bucket", F.lit(False).alias("ghost")).union(ghosts.select("doc_id", "text", "to", F.lit(True)))
+    rows = rows.withColumns({c: f(F.col("text")) for c, f in carry.items()}) if carry else rows
+    order_by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return rows.select("doc_id", "text", *carry, "ghost", *(F.lead(c).over(order_by).alias(f"next_{c}") for c in ("text", *carry))).where("not ghost").drop("ghost")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -115,18 +116,18 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, k: int = K, n: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of docs: its fingerprint, that of its edited text, and their likeness.
 
-    Returns doc_id, n_chars, n_shingles (estimated), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles (estimated).
     - A null text counts as the empty one; without words the fingerprint is the empty string, and two such are alike (1.0).
+    - A very long text gives all its shingles, and its sketch has k of them at most.
     - Rows follow one another by doc_id (nulls first), then text; equal rows follow each other. A single row follows itself.
-    - Other columns are not read; an empty table gives an empty result.
+    - Other columns are not read, whatever their names; an empty table gives an empty result.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = texts.withColumn("sketch", sketch(F.col("text"), k, n))
-    pairs = with_next(texts, carry=("sketch",))
+    pairs = with_next(texts, carry={"sketch": lambda t: sketch(t, k, n)})
     pairs = pairs.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     pairs = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), k, n).alias("edited_sketch"))
     return pairs.select(
-        "doc_id", "n_chars", F.round(distinct_shingles(F.col("sketch"), k)).cast("long").alias("n_shingles"), "edited_sha256",
-        as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        F.round(distinct_shingles(F.col("sketch"), k)).cast("long").alias("n_shingles"),
     )

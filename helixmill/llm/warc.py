@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import new_folder, slices, stored
+from helixmill.llm.common import flagged, join_hot, new_folder, slices, stored
 from helixmill.llm.records import files_of
 
 #: Bytes of a chunk; bytes of an archive, after which another is begun; payloads from this length on are kept once.
@@ -52,12 +52,12 @@ class ArchiveWriter:
         self.out, self.written = self.fs.open_output_stream(f"{self.at}/{name}", buffer_size=1 << 20), 0
         self.done.append([f"{self.folder}/{name}", 0])
 
-    def add(self, page_id: int | None, url: str | None, payload: memoryview | bytes, digest: str, refers_to: int | None) -> None:
-        """A response, or a revisit of the page refers_to; the payload goes through the compressor in pieces."""
+    def add(self, page_id: int | None, url: str | None, payload: memoryview | bytes, digest: str, refers_to: int | None, size: int | None = None) -> None:
+        """A response, or a revisit of the page refers_to, which needs the size of its payload alone; a payload goes through the compressor in pieces."""
         if self.out is None or self.written >= self.most:
             self.close()
             self._open()
-        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
         revisit = refers_to is not None
         head = [
             "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {self.date}",
@@ -143,24 +143,31 @@ _ROWS = "page_id long, record_id string, record_type string, refers_to long, chu
 def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_shared: int = LEAST_SHARED) -> DataFrame:
     """Writes a record per row of pages and returns the stored table (path, n_records) of its archives.
 
-    The payload is the html in UTF-8 (null: empty). Of equal payloads of least_shared bytes or more, rows with the
+    The payload is the html in UTF-8 (null or empty: no bytes). Of equal payloads of least_shared bytes or more, rows with the
     largest page_id are responses and the others revisits of it. A null page_id is the least; if a payload has no
-    other, its rows are responses. Shorter payloads are all responses. A null url is left out. Equal payloads
-    are found by their SHA-1; only digests that more than one page_id has are joined.
+    other, its rows are responses. Shorter payloads are all responses. A null url is left out; repeated rows are records each. Equal payloads
+    are found by their SHA-1, without the texts; only rows whose digest more than one page_id may have are shuffled, and those of
+    a digest that a large share of the pages has stay where they are. A very long payload is one cell of the table, and is
+    compressed in pieces. Other columns are not read, whatever their names. An empty table gives no archive.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"))
-    shared = rows.where(F.octet_length("html") >= least_shared).groupBy("digest").agg(F.max("page_id").alias("of"), F.min(F.struct("page_id")).alias("least"))
-    shared = shared.where("of is not null and not (least.page_id <=> of)").select(F.col("digest").alias("own"), "of")
-    rows = rows.join(shared, F.col("digest") == F.col("own"), "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("of")), F.col("of")).alias("refers_to"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha1(body.cast("binary")).alias("digest"))
+    shared = rows.where(F.col("size") >= least_shared).groupBy("digest").agg(F.max("page_id").alias("of"), F.min(F.struct("page_id")).alias("least"), F.count("*").alias("n"))
+    shared = stored(shared.where("of is not null and not (least.page_id <=> of)").select("digest", "of", "n"), "shared")
+    rows = flagged(rows, "digest", shared, "digest", "maybe")
+    names = ("page_id", "url", "html", "size", "digest")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    same = join_hot(rows.where("maybe").select(*names), shared, "digest", "n", total, "left")
+    same = same.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("of")), F.col("of"))).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit("")))
+    rows = rows.where("not maybe").select(*names, F.lit(None).cast("long").alias("refers_to")).unionByName(same.select(*names, "refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = ArchiveWriter(folder)
         for batch in slices(batches, "html"):
-            ids, urls, _, digests, of = (c.to_pylist() if i != 2 else c for i, c in enumerate(batch.columns))
+            ids, urls, _, sizes, digests, of = (c.to_pylist() if i != 2 else c for i, c in enumerate(batch.columns))
             for k, payload in enumerate(batch.column(2)):
-                out.add(ids[k], urls[k], payload.as_buffer(), digests[k], of[k])
+                out.add(ids[k], urls[k], payload.as_buffer(), digests[k], of[k], sizes[k])
         out.close()
         yield pa.RecordBatch.from_pydict({"path": pa.array([d[0] for d in out.done], pa.string()), "n_records": pa.array([d[1] for d in out.done], pa.int64())})
 

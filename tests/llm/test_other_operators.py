@@ -43,6 +43,12 @@ def test_op3(spark, sf_dir):
     assert pages_of(spark.createDataFrame([], df.schema)) == []
 
 
+def test_op3_of_one_payload_that_many_pages_have(spark):
+    rows = [(i, "u", "h" * 1200 if i % 3 else f"{i}" * 900) for i in range(1500)] + [(2000 + i, None, "k" * 5000) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as size", "3 as refers_to", "4 as maybe")
+    assert pages_of(df) == stated_pages(rows)
+
+
 def test_chunks_are_bounded_and_add_up(tmp_path):
     out = warc.ArchiveWriter(f"file://{tmp_path}", most=1000)
     body = random.Random(1).randbytes(10_000)
@@ -212,6 +218,39 @@ def test_op6_learns_more_languages_than_a_mask_has_bits(spark):
     assert all(r.lang_pred == of[r.doc_id] for r in found if any(zlib.crc32(str(d).encode()) % 4 != 2 for d, lang in of.items() if lang == of[r.doc_id]))
 
 
+def test_op6_counts_equal_sets_of_ngrams(spark):
+    docs = table(spark, "/root/testdata/sf0.01")
+    model = langid.learn(docs, ~langid.held_out(F.col("doc_id")), sample=1000)  # all of them
+    rows = [r for r in docs.collect() if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    of = {}
+    for lang in sorted({r.lang for r in rows}):
+        mine = [r.text[: langid.SAMPLE_CHARS] for r in rows if r.lang == lang]
+        count = {n: Counter(g for t in mine for g in windows(t, n)) for n in langid.SIZES}
+        number = lambda g, n: int(langid.grams(np.array([ord(c) for c in g], np.uint32), n)[0])
+        of[lang] = {n: set(sorted(c, key=lambda g: (-c[g], number(g, n)))[: langid.KEPT[n]]) for n, c in count.items()}  # noqa: B023
+    for r in docs.collect()[:150]:
+        own = [sum(sum(g in of[x][n] for g in windows(r.text, n)) / max(1, len(windows(r.text, n))) for n in langid.SIZES) / 3 for x in sorted(of)]
+        assert model.shares(langid.letters(r.text)) == pytest.approx(own, abs=0.03)
+        if sorted(own)[-1] - sorted(own)[-2] > 0.06:
+            assert model.predict(r.text)[0] == sorted(of)[own.index(max(own))]
+
+
+def windows(text, n):
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    low = f" {' '.join(low.split(' '))} "
+    while "  " in low:
+        low = low.replace("  ", " ")
+    return [low[i : i + n] for i in range(len(low) - n + 1)] if low.strip() else []
+
+
+def test_repeated_rows_count_once_in_the_sample(spark):
+    rows = [(5, "the same text again and again", "en", "s")] * 3000 + [(i, f"another text with the number word{i} in it", "en", "s") for i in range(100, 130)]
+    labelled = langid.learn(documents(spark, rows), F.lit(True), sample=20)
+    assert labelled.languages == ["en"]
+    grams = langid.grams(langid.letters("another"), 4)
+    assert np.bitwise_and.reduce([labelled.cells[c] for c in langid._cells(grams)]).all()
+
+
 def test_the_filter_has_every_ngram_it_learned():
     rows = [("aa", "the cat sat on the mat"), ("bb", "der hund und die katze")] * 3
     found = langid.Filter.learned(rows)
@@ -265,9 +304,12 @@ def test_op10(spark, sf_dir):
     assert fingerprints.fingerprint_documents(documents(spark, [])).collect() == []
 
 
-def test_many_buckets_give_the_same_neighbours(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("bounds", [2048, 3])
+def test_many_buckets_give_the_same_neighbours(spark, sf_dir, monkeypatch, bounds):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "BOUNDS", bounds)  # with 3, most buckets are parts of equal width
     check_fingerprints(table(spark, sf_dir))
+    check_fingerprints(documents(spark, HARD))
 
 
 def test_sketches_merge_and_estimate(spark):

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -95,3 +96,53 @@ def test_the_background_is_of_all_whole_texts(spark):
     words = Counter(w for t in all_texts for w in re.findall("[A-Za-z0-9+/_=-]+", t) if sum(c.isdigit() for c in w) < 3 and not stated(w))
     assert secrets.scanner_of(docs).background.share == secrets.Background(words).share
     assert ("z", "q") in secrets.scanner_of(docs).background.share
+
+
+def naive_gain(scan, s):
+    """Likelihoods multiplied out over the stored frequencies, the best format against words."""
+    best = -math.inf
+    for a in scan.formats.values():
+        at, bits = a.states[0], 0.0
+        head = a.HEAD if len(s) >= a.HEAD else 0
+        for i, c in enumerate(s):
+            symbol = f"={c}" if i < head else "a" if c in "abcdefghijklmnopqrstuvwxyz" else "A" if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else "0" if c in "0123456789" else c
+            if at.seen.get(symbol):
+                bits += math.log2(at.seen[symbol] / at.count) + a.emit[symbol].get(c, -8.0)
+                at = a.states[at.next[symbol]]
+            else:
+                bits -= 12
+        best = max(best, bits + math.log2(max(at.ends, 0.01) / max(at.count, 1)))
+    b = scan.background
+    words = sum(math.log2((1 - b.SHARE) * b.share.get((x, y), 0) + b.SHARE * b.PRIOR.get(y, 0.01)) for x, y in zip("^" + s, s, strict=False))
+    return (best - words) / len(s)
+
+
+def test_auto_spans_are_all_candidates_of_enough_likelihood(spark):
+    docs = table(spark, "/root/testdata/sf0.01")
+    scan = secrets.scanner_of(docs)
+    got = {r.doc_id: r for r in secrets.secrets_found(docs, scanner=scan).collect()}
+    assert list(next(iter(got.values())).__fields__)[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    clean, false = 0, 0
+    for r in docs.collect():
+        base = stated(r.text or "")
+        auto = [(m.start(), m.end(), "auto") for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", r.text or "") if not any(b <= m.start() and m.end() <= e for b, e, _ in base) and naive_gain(scan, m[0]) >= secrets.LEAST_GAIN]
+        want = sorted([*base, *auto], key=lambda s: (s[0], secrets.KINDS.index(s[2]), s[1]))
+        assert got[r.doc_id].spans == ",".join(f"{k}:{b}:{e}" for b, e, k in want) and got[r.doc_id].n_auto == len(auto)
+        if not base:
+            clean, false = clean + 1, false + bool(auto)
+    assert false <= 0.01 * clean
+
+
+def test_a_candidate_that_goes_beyond_a_base_span_is_scored():
+    scan = learned()
+    token = secrets.labelled_credentials(1, seed=5)["repository"][0]
+    spans = scan.spans(f"x 0123456789abcdef01234567{token} y")
+    assert [k for _, _, k in spans] == ["hex", "auto"] or [k for _, _, k in spans] == ["auto", "hex"]
+    assert [k for _, _, k in scan.spans(f"token={token}")] == ["assign"]
+    assert secrets.redact(f"x {token}ab y", [(2, 12, "hex"), (2, 44, "auto")]) == "x <secret> y"
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, [(1, "x token=abcdef99 y", "en", "a")]).selectExpr("*", "1 as spans", "2 as n_auto", "3 as base_sha256")
+    assert [r.n_assign for r in secrets.secrets_found(docs).collect()] == [1]
+    assert list(map(tuple, secrets.redacted(docs).collect())) == [(1, "x <secret> y", "en", "a", 12, 1, 2, 3)]

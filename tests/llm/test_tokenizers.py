@@ -141,6 +141,13 @@ def test_records_can_be_read_by_their_index_and_damage_is_found(spark, tmp_path)
         list(records.read_shard(shard.path))
 
 
+def test_clashing_columns(spark):
+    docs = documents(spark, [(1, "some text", "en", "a"), (2, None, None, None)]).selectExpr("*", "1 as n_tokens", "2 as start", "3 as ids", "4 as n_bytes", "5 as shard", "6 as ids_sha256")
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in records.read_records(written(docs)).collect()) == [(1, 0, len(library_ids("some text")) + 1), (2, len(library_ids("some text")) + 1, 1)]
+    assert sorted((r.doc_id, r.n_bytes) for r in token_counts.token_counts(docs, queries.tokenizer_file(PIECES)).collect()) == [(1, 9), (2, 0)]
+    assert sorted((r.doc_id, r.n_tokens > 0) for r in bpe.encoding_digests(docs, queries.tokenizer_file(RANKS), queries.split_pattern()).collect()) == [(1, True), (2, False)]
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [])
     assert records.read_records(written(empty)).collect() == []
