@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where tables go if the session names no shared folder; single-machine sessions only (tests).
+#: Where tables go if the session names no shared folder; sessions on one machine only (tests).
 LOCAL_SHARED = "/tmp/helixmill-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session."""
+    """spark.checkpoint.dir of the session; without it, a folder of this machine if the session runs on it alone, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or LOCAL_SHARED).rstrip("/")
 
 
