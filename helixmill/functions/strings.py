@@ -20,8 +20,28 @@ def decode(code: Column) -> Column:
 
 
 def dna(text: Column) -> Column:
-    """The letters A, C, G and T of a text, in upper case."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]", "")
+    """A text as DNA, character by character: A, C, G, T and N in upper case, and N for every other character, so that places stay."""
+    return F.regexp_replace(F.translate(text, "acgtn", "ACGTN"), "(?s)[^ACGTN]", "N")
+
+
+def only_dna(text: Column) -> Column:
+    """A text of A, C, G, T and N as it is; raises for one with another character."""
+    return F.when(text.rlike("^[ACGTN]*$"), text).otherwise(F.raise_error(F.concat(F.lit("not of the letters ACGTN: "), F.substring(text, 1, 40))))
+
+
+def bit_width(x: Column) -> Column:
+    """Bits that an integer of 0 or more takes; 1 for 0."""
+    return F.length(F.bin(x)).cast("int")
+
+
+def point(interval: Column, offset: Column) -> Column:
+    """A place in an interval map. Structs of it are equal and in order as the places are: by interval, then offset."""
+    return F.struct(interval.alias("interval"), offset.alias("offset"))
+
+
+def characters(text: Column) -> Column:
+    """The characters of a text, in order; none of an empty one."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def reverse_complement(s: Column) -> Column:

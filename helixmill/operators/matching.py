@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.sources.sequences import starts
+from helixmill.operators.suffixes import suffixes
+from helixmill.plans.tables import running, stored
 
-#: Rows of an index that may be broadcast (24 bytes each), and symbols of a shard that one task indexes.
-BROADCAST_ROWS, SHARD_SYMBOLS = 1 << 24, 1 << 20
+#: Rows of an index that may be broadcast (24 bytes each).
+BROADCAST_ROWS = 1 << 24
 
 
 class Index:
@@ -28,43 +29,16 @@ class Index:
         self.jumps: list[tuple] = []  # (i, row before, row after, length) of the last walk's repositionings
         self.rows = {c: np.flatnonzero(bwt == c) for c in np.unique(bwt) if c != "$"}
 
-    @classmethod
-    def of(cls, sequences: list[tuple[int, str]]) -> Index:
-        """From (start, sequence), in order of start; text positions are start + offset."""
-        seqs = [s.replace("N", "Z") for _, s in sequences]
-        at = np.concatenate([np.arange(start, start + len(s) + 1) for start, s in sequences])
-        points = [np.append(np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64) + len(seqs), k) for k, s in enumerate(seqs)]
-        text = np.concatenate(points)  # endmarkers are the smallest, in order of the sequences
-        n, h = len(text), 1
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        while rank.max() < n - 1:
-            later = np.full(n, -1, np.int64)
-            later[: n - h] = rank[h:]
-            rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
-            h *= 2
-        sa = np.argsort(rank)
-        lcp, k = np.zeros(n, np.int64), 0
-        for i in range(n):  # Kasai
-            if (r := rank[i]) and text[i] >= len(seqs):
-                j = sa[r - 1]
-                while text[i + k] == text[j + k]:
-                    k += 1
-                lcp[r] = k
-                k = max(0, k - 1)
-            else:
-                k = 0
-        before = np.concatenate([["$", *s] for _, s in sequences]) if sequences else np.zeros(0, "<U1")
-        return cls(at[sa], before[sa], lcp)
-
     def _extension(self, a: int, b: int) -> int:
         """Common prefix of the suffixes of rows a < b."""
         return int(self.lcp[a + 1 : b + 1].min())
 
-    def walk(self, pattern: str, on_bad: str = "error") -> Iterator[tuple[int, int, int | None]]:
+    def walk(self, pattern: str, on_bad: str = "error", recorded: dict[int, tuple[int, int]] | None = None) -> Iterator[tuple[int, int, int | None]]:
         """(i, length, row) from the right end to the left.
 
         The row is kept if its BWT has the wanted character; else the nearest row above or below that has it is taken,
-        whichever shares more, above on ties. It starts in the last row.
+        whichever shares more, above on ties. It starts in the last row. recorded has the row and the length of each such choice by i, as
+        an earlier walk made them; they are followed then, and nothing is compared.
         """
         self.jumps.clear()
         last = len(self.sa) - 1
@@ -80,6 +54,12 @@ class Index:
                 continue
             if self.bwt[row] != c:
                 self.jumps.append((i, row))
+                if recorded is not None:
+                    row, length = recorded[i]
+                    self.jumps[-1] += (row, length)
+                    row, length = int(self.lf[row]), length + 1
+                    yield i, length, row
+                    continue
                 k = int(np.searchsorted(rows, row))
                 up = self._extension(int(rows[k - 1]), row) if k else -1
                 down = self._extension(row, int(rows[k])) if k < len(rows) else -1
@@ -102,8 +82,8 @@ class Index:
 _MS = "name string, i long, len long, pos long"
 
 
-def _rows(index: Index, name: str, pattern: str, rule: str, on_bad: str) -> list[tuple]:
-    return [(name, i, n, None if row is None else index.least(row, n) if rule == "min" else int(index.sa[row])) for i, n, row in index.walk(pattern, on_bad)]
+def _rows(index: Index, name: str, pattern: str, rule: str, on_bad: str, recorded: dict[int, tuple[int, int]] | None = None) -> list[tuple]:
+    return [(name, i, n, None if row is None else index.least(row, n) if rule == "min" else int(index.sa[row])) for i, n, row in index.walk(pattern, on_bad, recorded)]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -115,7 +95,7 @@ def _index_of(table: DataFrame):
     """The broadcast arrays of a suffix table of up to BROADCAST_ROWS rows."""
     n = table.count()
     if n > BROADCAST_ROWS:
-        raise ValueError(f"an index of {n} rows is too large to broadcast ({BROADCAST_ROWS}): use sharded_matching_statistics")
+        raise ValueError(f"an index of {n} rows is too large to broadcast ({BROADCAST_ROWS}): use matched_by_order")
     arrays = table.select("sa_rank", "text_pos", "bwt", "lcp").toPandas().sort_values("sa_rank")
     return table.sparkSession.sparkContext.broadcast((arrays["text_pos"].to_numpy(np.int64), arrays["bwt"].to_numpy("<U1"), arrays["lcp"].to_numpy(np.int64)))
 
@@ -141,7 +121,7 @@ def matching_statistics(table: DataFrame, patterns: DataFrame, rule: str = "refe
 
     table is a suffix table. pos is that of the walk's row ("reference") or the smallest ("min"). A character that the
     collection lacks raises, or with on_bad "break" gives len 0 and no pos. Rows of patterns are independent, so this
-    also runs on a stream. The index may have BROADCAST_ROWS rows; beyond that, use sharded_matching_statistics.
+    also runs on a stream. The index may have BROADCAST_ROWS rows; beyond that, use matched_by_order.
     """
     shared = _index_of(table)
 
@@ -154,27 +134,88 @@ def matching_statistics(table: DataFrame, patterns: DataFrame, rule: str = "refe
     return patterns.select("name", "seq").mapInPandas(run, _MS)
 
 
-def sharded_matching_statistics(sequences: DataFrame, patterns: DataFrame, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
-    """(name, i, len, pos) with the smallest pos, without an index of the whole: sequences are dealt into shards that a task can
-    index, each shard matches all patterns, and the longest match of all shards counts. len 0 has no pos."""
-    placed = sequences.join(starts(sequences), "seq_id").withColumn("shard", F.floor(F.col("start") / shard_symbols))
-    shards = placed.select("shard").distinct()
-    asked = _each(patterns.select(F.col("name").alias("pattern_name"), F.col("seq").alias("pattern")), shards)
+def replayed(table: DataFrame, patterns: DataFrame, recorded: DataFrame, on_bad: str = "error") -> DataFrame:
+    """(name, i, len, pos) by the walk, with its choices taken from recorded, the rows of repositionings(): what they chose is not looked for again."""
+    shared = _index_of(table)
+    made = recorded.groupBy("name").agg(F.collect_list(F.struct("i", "to_row", "len")).alias("made"))  # of one pattern: no more than its length
+    rows = patterns.select("name", "seq").join(made, "name", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(*shared.value)
+        for pdf in batches:
+            for name, seq, found in zip(pdf["name"], pdf["seq"], pdf["made"], strict=True):
+                choices = {int(c["i"]): (int(c["to_row"]), int(c["len"])) for c in (found if found is not None else ())}
+                yield _frame(_rows(index, name, seq or "", "reference", on_bad, choices))
+
+    return rows.select("name", "seq", F.col("made")).mapInPandas(run, _MS)
+
 
-    def run(key: tuple, texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.sort_values("start")
-        index = Index.of(list(zip(texts["start"].tolist(), texts["seq"], strict=True)))
-        return _frame([r for name, seq in zip(wanted["pattern_name"], wanted["pattern"], strict=True) for r in _rows(index, name, seq or "", "min", "break")])
+def counters(ms: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(name, characters, mismatches, matched, longest) of each pattern: its length, how often the walk left its row, and the sum and the largest of its lengths."""
+    own = ms.groupBy("name").agg(F.count("*").alias("characters"), F.sum("len").alias("matched"), F.max("len").alias("longest"))
+    left = recorded.groupBy(F.col("name").alias("own")).agg(F.count("*").alias("n"))
+    return own.join(left, F.col("name") == F.col("own"), "left").select("name", "characters", F.coalesce("n", F.lit(0)).alias("mismatches"), "matched", "longest")
 
-    own = placed.select("shard", "start", "seq").groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, _MS)
-    best = own.groupBy("name", "i").agg(F.max(F.struct("len", (-F.col("pos")).alias("p"))).alias("m"))
-    return best.select("name", "i", F.col("m.len").alias("len"), (-F.col("m.p")).alias("pos"))
 
+def arrays(ms: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(name, lens, poss): a row per pattern, its lengths and positions in arrays in the order of its characters, as sinks.write_matching takes them."""
+    rows = ms.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("i", "len", "pos"))).alias("m"))
+    part = lambda c: F.coalesce(F.transform("m", lambda x: F.coalesce(x[c], F.lit(0))), F.array().cast("array<bigint>"))
+    return patterns.select("name").join(rows, "name", "left").select("name", part("len").alias("lens"), part("pos").alias("poss"))
 
-def _each(patterns: DataFrame, shards: DataFrame) -> DataFrame:
-    """patterns for each shard: shards are numbered, so a range of numbers makes them without a cross join."""
-    most = shards.agg(F.max("shard")).first()[0]
-    shards = shards.select(F.col("shard").alias("of"))
-    rows = patterns.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most or 0).cast("long"))))
-    return rows.join(shards, F.col("shard") == F.col("of"), "left_semi")
 
+def matched_by_order(sequences: DataFrame, patterns: DataFrame, mode: str = "dna") -> DataFrame:
+    """(name, i, len, pos) with the smallest pos, from the suffix order of sequences and patterns(name, seq) together; len 0 has no pos.
+
+    The longest match of a pattern's suffix is with the nearest suffix of a sequence above or below it: the least LCP between. All
+    matches of that length are neighbours. It is sorts, joins by place and running minima: no index in one place, and no bound on sizes.
+    Names of patterns must differ.
+    """
+    n = sequences.count()
+    names = stored(_numbered(patterns), "patterns")
+    both = sequences.select("seq_id", "seq", "len").unionByName(names.select((F.col("k") + n).alias("seq_id"), "seq", F.length("seq").cast("long").alias("len")))
+    table = suffixes(both, "auto", mode)
+    own = F.col("seq_id") < n
+    rows = table.select("sa_rank", "seq_id", "off", "text_pos", "lcp", F.when(own, 1).otherwise(0).alias("own"))
+    rows = stored(running(rows, "sa_rank", "own", "group"), "order")
+    # from a group's own first row on; the rows before the first group have none above
+    asked = Window.partitionBy("group").orderBy("sa_rank")
+    up = F.min(F.when(F.col("own") == 0, F.col("lcp"))).over(asked.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.min("lcp").over(asked.rowsBetween(1, Window.unboundedFollowing))
+    after = rows.where("own = 1").select((F.col("group") - 1).alias("group"), F.col("lcp").alias("next"))
+    found = rows.withColumn("up", F.when(F.col("group") > 0, up)).withColumn("down", down).where("own = 0").join(after, "group", "left")
+    below = F.when(F.col("next").isNotNull(), F.least(F.col("next"), F.coalesce("down", "next")))
+    found = found.withColumn("l", F.greatest(F.coalesce("up", F.lit(0)), F.coalesce(below, F.lit(0)))).where(F.col("off") >= 0)
+    found = stored(found.select("seq_id", "off", "sa_rank", "l"), "lengths")
+    # the smallest position among the suffixes that share l characters: least LCPs and positions of 2^k rows together
+    place = F.when(own, F.col("text_pos"))
+    above = table.select((F.col("sa_rank") + 1).alias("sa_rank"), place.alias("p"))
+    levels = [stored(table.where("lcp >= 1").withColumn("q", place).join(above, "sa_rank").select(F.col("sa_rank").alias("at"), F.col("lcp").alias("low"), "p", "q"), "minima")]
+    while not levels[-1].isEmpty():
+        half = levels[-1]
+        later = half.select((F.col("at") - (1 << (len(levels) - 1))).alias("at"), F.col("low").alias("low2"), F.col("p").alias("p2"), F.col("q").alias("q2"))
+        levels.append(stored(half.join(later, "at").select("at", F.least("low", "low2").alias("low"), F.least("p", "p2").alias("p"), F.least("q", "q2").alias("q")), "minima"))
+    at = found.where("l > 0").select("seq_id", "off", "l", F.col("sa_rank").alias("lo"), F.col("sa_rank").alias("hi"), F.lit(None).cast("long").alias("pos"))
+    for k in reversed(range(len(levels) - 1)):
+        step = 1 << k
+        above = levels[k].select((F.col("at") + step - 1).alias("lo"), F.col("low").alias("up"), F.col("p"))
+        under = levels[k].select((F.col("at") - 1).alias("hi"), F.col("low").alias("down"), F.col("q"))
+        at = at.join(above, "lo", "left").join(under, "hi", "left")
+        grows = lambda c: F.coalesce(F.col(c) >= F.col("l"), F.lit(False))
+        at = stored(
+            at.select(
+                "seq_id", "off", "l", (F.col("lo") - F.when(grows("up"), step).otherwise(0)).alias("lo"), (F.col("hi") + F.when(grows("down"), step).otherwise(0)).alias("hi"),
+                F.least("pos", F.when(grows("up"), F.col("p")), F.when(grows("down"), F.col("q"))).alias("pos"),
+            ),
+            "ranges",
+        )
+    at = at.select(F.col("seq_id").alias("s"), F.col("off").alias("o"), "pos")
+    out = found.join(at, (F.col("seq_id") == F.col("s")) & (F.col("off") == F.col("o")), "left").withColumn("k", F.col("seq_id") - n)
+    out = out.join(names.select("k", "name", F.length("seq").alias("size")), "k").where(F.col("off") < F.col("size"))
+    return out.select("name", F.col("off").alias("i"), F.col("l").alias("len"), "pos")
+
+
+def _numbered(patterns: DataFrame) -> DataFrame:
+    from helixmill.sources.sequences import from_table
+
+    return from_table(patterns.select("name", "seq"), "name", "seq", "text").select(F.col("seq_id").alias("k"), "name", "seq")

@@ -1,11 +1,14 @@
-"""Repeats within a collection: supermaximal repeats and maximal repeat pairs."""
+"""Repeats within a collection: supermaximal repeats and maximal repeat pairs.
+
+Both come from ranks, positions and LCPs of a suffix table alone: suffixes that share a prefix are neighbours, and
+two share the least LCP between them. Least LCPs of 2^k rows, for each k that occurs, make ranges of any length cheap.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.strings import common_prefix
 from helixmill.plans.tables import running, stored
 
 
@@ -14,21 +17,7 @@ def _at_least(least: int) -> None:
         raise ValueError("the least length must be 1 or more")
 
 
-def _at_most(most_pairs: int, n: float, least: int) -> None:
-    if n > most_pairs:
-        raise ValueError(f"{n:.0f} pairs share {least} characters; at most {most_pairs} are allowed: ask for longer repeats")
-
-
-def _pairs(seeds: DataFrame) -> float:
-    return seeds.groupBy("seed").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-
-
-def _without_strings(table: DataFrame) -> bool:
-    """Whether the table came from prefix doubling or an index store, which have no suffixes as strings."""
-    return "suf" not in table.columns or not table.where("suf is null").isEmpty()
-
-
-def _minima(table: DataFrame, least: int) -> list[DataFrame]:
+def minima(table: DataFrame, least: int) -> list[DataFrame]:
     """The k-th is (at, low): the least lcp of the 2^k rows from rank at on, where it is least or more; the last is empty."""
     levels = [stored(table.where(F.col("lcp") >= least).select(F.col("sa_rank").alias("at"), F.col("lcp").alias("low")), "minima")]
     while not levels[-1].isEmpty():
@@ -38,98 +27,84 @@ def _minima(table: DataFrame, least: int) -> list[DataFrame]:
     return levels
 
 
-def _supermaximal_by_rank(table: DataFrame, least: int) -> DataFrame:
-    """supermaximal_repeats() from ranks and LCPs: the suffixes that share a prefix are a range of ranks, which grows by halving steps."""
+def widened(rows: DataFrame, levels: list[DataFrame], length: str) -> DataFrame:
+    """rows(lo, hi, ...) with the range of ranks grown as far as all LCPs inside are length or more, by halving steps."""
+    names = [c for c in rows.columns if c not in ("lo", "hi")]
+    for k in reversed(range(len(levels) - 1)):
+        step = 1 << k
+        up = levels[k].select((F.col("at") + step - 1).alias("lo"), F.col("low").alias("up"))
+        down = levels[k].select((F.col("at") - 1).alias("hi"), F.col("low").alias("down"))
+        grown = lambda low: F.when(F.col(low) >= F.col(length), step).otherwise(0)  # noqa: B023, E731
+        rows = rows.join(up, "lo", "left").join(down, "hi", "left")
+        rows = stored(rows.select(*names, (F.col("lo") - grown("up")).alias("lo"), (F.col("hi") + grown("down")).alias("hi")), "ranges")
+    return rows
+
+
+def _supermaximal(table: DataFrame, least: int) -> DataFrame:
+    """(seq_id, off, sa_rank, l, lo, hi): the places, and the ranks of all suffixes with the prefix."""
+    _at_least(least)
     below = table.select((F.col("sa_rank") - 1).alias("sa_rank"), F.col("lcp").alias("below"))
     longest = table.join(below, "sa_rank", "left").withColumn("l", F.greatest("lcp", F.coalesce("below", F.lit(0))))
     before = longest.select((F.col("text_pos") + 1).alias("text_pos"), F.col("l").alias("l_before"))
     found = longest.join(before, "text_pos", "left").where((F.col("l") >= least) & ((F.col("off") == 0) | (F.col("l_before") <= F.col("l"))))
     found = found.select("seq_id", "off", "sa_rank", "l", F.col("sa_rank").alias("lo"), F.col("sa_rank").alias("hi"))
-    levels = _minima(table, least)
-    for k in reversed(range(len(levels) - 1)):
-        step = 1 << k
-        up = levels[k].select((F.col("at") + step - 1).alias("lo"), F.col("low").alias("up"))
-        down = levels[k].select((F.col("at") - 1).alias("hi"), F.col("low").alias("down"))
-        found = found.join(up, "lo", "left").join(down, "hi", "left")
-        grown = lambda low: F.when(F.col(low) >= F.col("l"), step).otherwise(0)
-        found = stored(found.select("seq_id", "off", "sa_rank", "l", (F.col("lo") - grown("up")).alias("lo"), (F.col("hi") + grown("down")).alias("hi")), "ranges")
+    return widened(found, minima(table, least), "l")
+
+
+def supermaximal_repeats(table: DataFrame, least: int = 1, others: bool = True) -> DataFrame:
+    """(seq, pos, len, occ, others): positions whose longest repeated prefix is at least so long and can't be extended to the left.
+
+    len is the larger lcp with the suffixes above and below; the position before (in the same sequence) has none larger.
+    occ counts the suffixes that share the prefix, and others lists the other ones in suffix order. Without others, that column is
+    left out, and a row is small however often its repeat occurs; occurrences() gives a row for each.
+    """
+    found = _supermaximal(table, least)
+    names = [F.col("seq_id").alias("seq"), F.col("off").alias("pos"), F.col("l").alias("len"), (F.col("hi") - F.col("lo") + 1).alias("occ")]
+    if not others:
+        return found.select(*names)
     hits = found.select("lo", "hi").distinct().select("lo", "hi", F.explode(F.sequence("lo", "hi")).alias("r"))
     hits = hits.join(table.select(F.col("sa_rank").alias("r"), F.col("seq_id").alias("seq"), F.col("off").alias("pos")), "r")
     groups = hits.groupBy("lo", "hi").agg(F.sort_array(F.collect_list(F.struct("r", "seq", "pos"))).alias("all"))
-    return _with_others(found.join(groups, ["lo", "hi"]))
+    listed = F.transform(F.filter("all", lambda o: o["r"] != F.col("sa_rank")), lambda o: F.struct(o["seq"].alias("seq"), o["pos"].alias("pos")))
+    return found.join(groups, ["lo", "hi"]).select(*names, listed.alias("others"))
 
 
-def _maximal_by_rank(table: DataFrame, least: int, most_pairs: int | None) -> DataFrame:
-    """maximal_repeats() from ranks and LCPs: suffixes with the same first characters are neighbours, and two share the least lcp between them."""
-    heads = table.select("seq_id", "off", "text_pos", "bwt", "sa_rank", F.when(F.col("lcp") < least, 1).otherwise(0).alias("head"))
-    seeds = stored(running(heads, "sa_rank", "head", "seed").drop("head"), "seeds")
-    if most_pairs is not None:
-        _at_most(most_pairs, _pairs(seeds), least)
-    x, y = seeds.alias("x"), seeds.alias("y")
-    pairs = x.join(y, (F.col("x.seed") == F.col("y.seed")) & (F.col("x.text_pos") < F.col("y.text_pos")) & ((F.col("x.bwt") == "$") | (F.col("x.bwt") != F.col("y.bwt"))))
-    first, last = F.least("x.sa_rank", "y.sa_rank"), F.greatest("x.sa_rank", "y.sa_rank")
-    pairs = pairs.select(F.col("x.seq_id").alias("seq1"), F.col("x.off").alias("pos1"), F.col("y.seq_id").alias("seq2"), F.col("y.off").alias("pos2"), (first + 1).alias("first"), last.alias("last"))
+def occurrences(table: DataFrame, least: int = 1) -> DataFrame:
+    """(seq, pos, len, k, other_seq, other_pos): a row per supermaximal repeat and other occurrence, k from 0 in suffix order; nothing is collected."""
+    found = _supermaximal(table, least).select("seq_id", "off", "l", "sa_rank", F.posexplode(F.filter(F.sequence("lo", "hi"), lambda r: r != F.col("sa_rank"))).alias("k", "r"))
+    other = table.select(F.col("sa_rank").alias("r"), F.col("seq_id").alias("other_seq"), F.col("off").alias("other_pos"))
+    return found.join(other, "r").select(F.col("seq_id").alias("seq"), F.col("off").alias("pos"), F.col("l").alias("len"), F.col("k").cast("long").alias("k"), "other_seq", "other_pos")
+
+
+def extensions(levels: list[DataFrame], pairs: DataFrame) -> DataFrame:
+    """pairs(first, last, ...) with len, the common prefix of the suffixes of ranks first < last: the least lcp of rows first + 1 to last. Pairs
+    with less than the least of the levels are left out."""
+    names = pairs.columns
     # the largest power of two of rows that fits, once from the first row and once up to the last
-    pairs = pairs.withColumn("k", (F.length(F.bin(F.col("last") - F.col("first") + 1)) - 1).cast("int"))
-    levels = _minima(table, least)
+    pairs = pairs.withColumn("k", (F.length(F.bin(F.col("last") - F.col("first"))) - 1).cast("int")).withColumn("from", F.col("first") + 1)
     ranges = levels[-1].withColumn("k", F.lit(len(levels) - 1))
     for k, level in enumerate(levels[:-1]):
         ranges = ranges.unionByName(level.withColumn("k", F.lit(k)))
-    own = ranges.select("k", F.col("at").alias("first"), F.col("low").alias("low1"))
+    own = ranges.select("k", F.col("at").alias("from"), F.col("low").alias("low1"))
     other = ranges.select("k", F.expr("at + shiftleft(1L, k) - 1").alias("last"), F.col("low").alias("low2"))
-    return pairs.join(own, ["k", "first"]).join(other, ["k", "last"]).select("seq1", "pos1", "seq2", "pos2", F.least("low1", "low2").alias("len"))
-
-
-def _with_others(found: DataFrame) -> DataFrame:
-    others = F.transform(F.filter("all", lambda o: o["r"] != F.col("sa_rank")), lambda o: F.struct(o["seq"].alias("seq"), o["pos"].alias("pos")))
-    return found.select(F.col("seq_id").alias("seq"), F.col("off").alias("pos"), F.col("l").alias("len"), F.size("all").cast("long").alias("occ"), others.alias("others"))
-
-
-def supermaximal_repeats(table: DataFrame, least: int = 1) -> DataFrame:
-    """(seq, pos, len, occ, others): positions whose longest repeated prefix is at least so long and can't be extended to the left.
-
-    len is the larger lcp with the suffixes above and below; the position before (in the same sequence) has none larger.
-    occ counts the suffixes that share the prefix, and others lists the other ones in suffix order. Occurrences are found by
-    equality of the prefix, first of its first characters, so that only lengths that occur there are compared; in a table
-    without suffixes as strings, by ranks and LCPs.
-    """
-    _at_least(least)
-    if _without_strings(table):
-        return _supermaximal_by_rank(table, least)
-    below = table.select((F.col("sa_rank") - 1).alias("sa_rank"), F.col("lcp").alias("below"))
-    longest = table.join(below, "sa_rank", "left").withColumn("l", F.greatest("lcp", F.coalesce("below", F.lit(0))))
-    before = longest.select((F.col("text_pos") + 1).alias("text_pos"), F.col("l").alias("l_before"))
-    found = longest.join(before, "text_pos", "left").where((F.col("l") >= least) & ((F.col("off") == 0) | (F.col("l_before") <= F.col("l"))))
-    found = found.select("seq_id", "off", "sa_rank", "l", F.substring("suf", F.lit(1), F.col("l").cast("int")).alias("prefix"))
-    # the lengths that occur behind each first run of characters; then all suffixes with such a prefix
-    lengths = found.select(F.substring("prefix", 1, least).alias("seed"), "l").distinct()
-    seeds = table.where(F.length("suf") >= least).select("seq_id", "off", "sa_rank", "suf", F.substring("suf", 1, least).alias("seed"))
-    hits = seeds.join(lengths, "seed").where(F.length("suf") >= F.col("l"))
-    hits = hits.select(F.substring("suf", F.lit(1), F.col("l").cast("int")).alias("prefix"), F.struct(F.col("sa_rank").alias("r"), F.col("seq_id").alias("seq"), F.col("off").alias("pos")).alias("o"))
-    groups = hits.join(found.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.sort_array(F.collect_list("o")).alias("all"))
-    return _with_others(found.join(groups, "prefix"))
-
-
-def occurrences(repeats: DataFrame) -> DataFrame:
-    """(seq, pos, len, k, other_seq, other_pos): a row per other occurrence, k from 0."""
-    return repeats.select("seq", "pos", "len", F.posexplode("others").alias("k", "o")).select("seq", "pos", "len", F.col("k").cast("long").alias("k"), F.col("o.seq").alias("other_seq"), F.col("o.pos").alias("other_pos"))
+    return pairs.join(own, ["k", "from"]).join(other, ["k", "last"]).select(*names, F.least("low1", "low2").alias("len"))
 
 
 def maximal_repeats(table: DataFrame, least: int, most_pairs: int | None = None) -> DataFrame:
     """(seq1, pos1, seq2, pos2, len): pairs of positions that share at least so many characters and have different ones before.
 
-    Each pair comes once, the smaller text position first; two sequence starts always differ. Pairs are found by an equi-join on the
-    first characters, or by ranks and LCPs in a table without suffixes as strings. The result is quadratic in the copies of a repeat: with most_pairs, it raises if
-    the join would make more.
+    Each pair comes once, the smaller text position first; two sequence starts always differ. Suffixes with the same first characters
+    are a run of neighbours with LCPs of least or more; pairs are made in each run. The result is quadratic in the copies of a
+    repeat: with most_pairs, it raises if the runs would make more.
     """
     _at_least(least)
-    if _without_strings(table):
-        return _maximal_by_rank(table, least, most_pairs)
-    seeds = table.where(F.length("suf") >= least).select("seq_id", "off", "text_pos", "bwt", "suf", F.substring("suf", 1, least).alias("seed"))
+    heads = table.select("seq_id", "off", "text_pos", "bwt", "sa_rank", F.when(F.col("lcp") < least, 1).otherwise(0).alias("head"))
+    seeds = stored(running(heads, "sa_rank", "head", "seed").drop("head"), "seeds")
     if most_pairs is not None:
-        n = _pairs(seeds)
-        _at_most(most_pairs, n, least)
-    longest = table.agg(F.max(F.length("suf"))).first()[0] or 0
+        n = seeds.groupBy("seed").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+        if n > most_pairs:
+            raise ValueError(f"{n:.0f} pairs share {least} characters; at most {most_pairs} are allowed: ask for longer repeats")
     x, y = seeds.alias("x"), seeds.alias("y")
     pairs = x.join(y, (F.col("x.seed") == F.col("y.seed")) & (F.col("x.text_pos") < F.col("y.text_pos")) & ((F.col("x.bwt") == "$") | (F.col("x.bwt") != F.col("y.bwt"))))
-    return pairs.select(F.col("x.seq_id").alias("seq1"), F.col("x.off").alias("pos1"), F.col("y.seq_id").alias("seq2"), F.col("y.off").alias("pos2"), common_prefix(F.col("x.suf"), F.col("y.suf"), longest).alias("len"))
+    pairs = pairs.select(F.col("x.seq_id").alias("seq1"), F.col("x.off").alias("pos1"), F.col("y.seq_id").alias("seq2"), F.col("y.off").alias("pos2"), F.least("x.sa_rank", "y.sa_rank").alias("first"), F.greatest("x.sa_rank", "y.sa_rank").alias("last"))
+    return extensions(minima(table, least), pairs).select("seq1", "pos1", "seq2", "pos2", "len")

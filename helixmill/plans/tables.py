@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where tables go if the session names no shared folder; sessions on one machine only (tests).
@@ -50,16 +50,50 @@ def ranked(df: DataFrame, to: str, *order: Column) -> DataFrame:
     return table.withColumn(to, before + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
 
 
-def running(df: DataFrame, by: str, value: str, to: str, parts: int = 64) -> DataFrame:
+#: Rows of a range, at most, however large a table is.
+RANGE_ROWS = 1 << 19
+
+
+def range_size(n: int) -> int:
+    """The size of ranges of n places: small tables are cut into 64, and no range has more than RANGE_ROWS places."""
+    return max(1, min(RANGE_ROWS, -(-n // 64)))
+
+
+def running(df: DataFrame, by: str, value: str, to: str) -> DataFrame:
     """df with to: the sum of value over this row and all rows of smaller by, an integer from 0 without gaps.
 
-    Sums of ranges of by are small enough for one task; each range is summed up on its own.
+    Each range of places is summed up on its own; what comes before it, from one row a range.
     """
-    from pyspark.sql import Window
-
-    size = max(1, -(-(df.count()) // parts))
+    size = range_size(df.count())
     df = df.withColumn("__range", F.floor(F.col(by) / size))
-    totals = df.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__range", "__before")
+    order = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = df.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(order), F.lit(0)).alias("__before"))
     inside = F.sum(value).over(Window.partitionBy("__range").orderBy(by))
-    return df.join(F.broadcast(before), "__range").withColumn(to, F.col("__before") + inside).drop("__range", "__before")
+    return df.join(before, "__range").withColumn(to, F.col("__before") + inside).drop("__range", "__before")
+
+
+def as_of(points: DataFrame, at: str, starts: DataFrame, start: str, columns: tuple[str, ...], n: int) -> DataFrame:
+    """points with the columns of the last row of starts that begins at or before them; places are from 0 to n - 1, starts distinct.
+
+    Both sides are dealt into ranges of places and sorted there; the last start before a range is carried over from one
+    row a range. So no comparison is made between rows that are not neighbours, and a range holds at most RANGE_ROWS starts.
+    """
+    size = range_size(n)
+    types = dict(starts.dtypes)
+    own = starts.select(F.col(start).cast("long").alias("__place"), F.lit(0).alias("__side"), F.struct(*columns).alias("__found"), *(F.lit(None).cast(t).alias(c) for c, t in points.dtypes))
+    kind = ", ".join(f"`{c}`: {types[c]}" for c in columns)
+    asked = points.select(F.col(at).cast("long").alias("__place"), F.lit(1).alias("__side"), F.lit(None).cast(f"struct<{kind}>").alias("__found"), *points.columns)
+    rows = own.unionByName(asked).withColumn("__range", F.floor(F.col("__place") / size))
+    ranges = rows.groupBy("__range").agg(F.max(F.when(F.col("__side") == 0, F.struct("__place", "__found"))).alias("__last"))
+    order = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    carried = ranges.select("__range", F.last("__last", ignorenulls=True).over(order).alias("__carried"))
+    inside = Window.partitionBy("__range").orderBy("__place", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(carried, "__range").withColumn("__found", F.coalesce(F.last("__found", ignorenulls=True).over(inside), F.col("__carried.__found")))
+    return rows.where("__side = 1").select(*points.columns, *(F.col("__found")[c].alias(c) for c in columns))
+
+
+def ranked_within(rows: DataFrame, group: str, to: str, *order: Column) -> DataFrame:
+    """rows with to: the 0-based position of each row in its group, whatever the size of a group."""
+    rows = ranked(rows, "__rank", F.col(group), *order)
+    first = rows.groupBy(F.col(group).alias("__group")).agg(F.min("__rank").alias("__first"))
+    return rows.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn(to, F.col("__rank") - F.col("__first")).drop("__rank", "__group", "__first")

@@ -1,10 +1,13 @@
 """Golden values of the toy collection and of edge cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.operators import maps, matching, repeats, runs, verify
-from helixmill.operators.suffixes import suffixes
+from helixmill.operators import inverse, maps, matching, repeats, runs, verify
+from helixmill.operators.suffixes import pieces, positions, suffixes
+from helixmill.plans.tables import as_of
 
 TOY = ["TGAACTCTACACAACATATTTTGTCACCAAG", "CTTGGTGACAAAATATGTTGTGTAGAGTTCA"]
 BWT = "GACCACGCAGCTACAATGACTTTAACATAATA$ATTATTTGTATCGAATGC$GTGTTAGCTGTA"
@@ -96,21 +99,55 @@ def test_matching_statistics(spark, toy):
         assert [r.pos for r in rows if r.name == p] == list(map(int, poss.split()))
 
 
-def test_shards_find_the_same_lengths(spark, toy):
-    patterns = spark.createDataFrame([(p, p) for p in MS] + [("x", "ACNGT"), ("empty", "")], "name string, seq string")
-    whole = matching.matching_statistics(toy, patterns, "min", "break").collect()
-    parts = matching.sharded_matching_statistics(collection(spark, TOY), patterns, shard_symbols=32).collect()
-    assert sorted(map(str, whole)) == sorted(map(str, parts))
-
+@pytest.mark.parametrize("seqs", [TOY, ["", "ACGT", "ACGT", "N"]])
+def test_matches_by_order_are_those_of_the_index(spark, monkeypatch, seqs):
+    rows = collection(spark, seqs)
+    patterns = spark.createDataFrame([(p, p) for p in MS] + [("x", "ACNGT"), ("empty", ""), ("none", None), ("lower", "zz"), ("same", "ACGT")], "name string, seq string")
+    want = sorted(map(str, matching.matching_statistics(suffixes(rows), patterns, "min", "break").collect()))
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 1)  # no index in one place
+    assert sorted(map(str, matching.matched_by_order(rows, patterns).collect())) == want
+    with pytest.raises(ValueError, match="too large"):
+        matching.matching_statistics(suffixes(rows), patterns)
+
+
+def test_a_recorded_walk_is_replayed(spark, toy):
+    patterns = spark.createDataFrame([(p, p) for p in MS] + [("e", "")], "name string, seq string")
+    recorded = matching.repositionings(toy, patterns)
+    want = matching.matching_statistics(toy, patterns)
+    assert sorted(matching.replayed(toy, patterns, recorded).collect()) == sorted(want.collect())
+    jumps = recorded.collect()
+    rows = {(r.name, r.i): r for r in want.collect()}
+    sa, bwt = column(toy, "sa_rank", "text_pos"), column(toy, "sa_rank", "bwt")
+    rank = {p: r for r, p in enumerate(sa)}
+    for p in MS:  # the walk leaves a row exactly where its character is not the wanted one
+        row, expected = len(sa) - 1, []
+        for i in reversed(range(len(p))):
+            if bwt[row] != p[i]:
+                expected.append((i, row, rank[sa[rank[rows[p, i].pos]] + 1]))
+            row = rank[rows[p, i].pos]
+        assert sorted((j.i, j.from_row, j.to_row) for j in jumps if j.name == p) == sorted(expected)
+    total = {r.name: (r.characters, r.mismatches, r.matched, r.longest) for r in matching.counters(want, recorded).collect()}
+    lens = list(map(int, MS["ACAACATCTT"][0].split()))
+    assert total["ACAACATCTT"] == (10, sum(j.name == "ACAACATCTT" for j in jumps), sum(lens), max(lens))
+
+
+def test_everything_from_runs(spark, toy):
+    own = runs.rlbwt(toy)
+    assert [(r.seq_id, r.seq) for r in inverse.sequences_of(inverse.positions_of_runs(own)).orderBy("seq_id").collect()] == list(enumerate(TOY))
+    names = ("seq_id", "off", "text_pos", "sa_rank", "bwt", "lcp", "run_id")
+    assert sorted(inverse.suffixes_of_runs(own).select(*names).collect()) == sorted(toy.select(*names).collect())
+    found = inverse.positions_of_runs(own).cache()
+    assert sorted(inverse.lf_of_runs(own, positions=found).collect()) == sorted(maps.lf_map(toy).collect())
+    assert sorted(inverse.psi_of_runs(own, positions=found).collect()) == sorted(maps.psi_map(toy).collect())
+    with pytest.raises(ValueError, match="invariants"):
+        inverse.positions_of_runs(spark.createDataFrame([(0, "$", 2, 0)], "run_id long, ch string, run_len long, start long"))
 
-def test_ms_len_is_not_bounded_by_the_broadcast(spark, sf_dir, monkeypatch):
-    from helixmill.plans import core
 
-    want = sorted(map(tuple, core.ms_len(spark, sf_dir).collect()))
-    own, patterns = core._matched(spark, sf_dir)
-    assert want == sorted(map(tuple, matching.matching_statistics(suffixes(own), patterns, on_bad="break").select("name", "i", "len").collect()))
-    monkeypatch.setattr(matching, "BROADCAST_ROWS", 1)
-    assert sorted(map(tuple, core.ms_len(spark, sf_dir).collect())) == want
+def test_texts_of_empty_sequences_come_back(spark):
+    table = suffixes(collection(spark, ["", "ANT", "", "AGT"]))
+    for by in ("lf", "psi"):
+        assert [r.seq for r in verify.recovered(table, by).orderBy("seq_id").collect()] == ["", "ANT", "", "AGT"]
+    assert [r.seq for r in inverse.sequences_of(inverse.positions_of_runs(runs.rlbwt(table))).orderBy("seq_id").collect()] == ["", "ANT", "", "AGT"]
 
 
 def test_edge_cases(spark):
@@ -132,6 +169,68 @@ def test_edge_cases(spark):
 
 def test_verify(spark, toy):
     rows = {r.check: r.ok for r in verify.verify(toy, collection(spark, TOY)).collect()}
-    assert rows == {"lf": True, "psi": True, "phi": True, "inv_phi": True, "text": True}
-    rows = {r.check: r.ok for r in verify.verify(toy, collection(spark, [TOY[0], "A"])).collect()}
-    assert not rows["text"]
+    assert rows == dict.fromkeys(verify.CHECKS, True)
+    rows = {r.check: r.ok for r in verify.verify(toy, collection(spark, [TOY[0], "A"]), ("text_by_lf", "text_by_psi")).collect()}
+    assert rows == {"text_by_lf": False, "text_by_psi": False}
+    # maps with two images exchanged
+    good = {"lf": maps.lf_map(toy), "psi": maps.psi_map(toy), "phi": maps.phi_map(toy), "inv_phi": maps.inv_phi_map(toy)}
+    swapped = F.when(F.col("interval") == 7, 9).when(F.col("interval") == 9, 7).otherwise(F.col("interval"))
+    wrong = good | {k: good[k].drop("dest_interval", "dest_offset").join(good[k].select(swapped.alias("interval"), "dest_interval", "dest_offset"), "interval") for k in ("lf", "phi")}
+    rows = {r.check: r.ok for r in verify.verify(toy, collection(spark, TOY), ("lf", "psi", "phi", "text_by_lf", "text_by_psi"), wrong).collect()}
+    assert rows == {"lf": False, "psi": True, "phi": False, "text_by_lf": False, "text_by_psi": True}
+    with pytest.raises(ValueError, match="checks"):
+        verify.verify(toy, collection(spark, TOY), ("none",))
+
+
+def test_cycles_of_random_permutations(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for name, n in (("one", 50), ("some", 300), ("fixed", 9), ("many", 40)):
+        to = list(range(n))
+        if name != "fixed":
+            rng.shuffle(to)
+        rows += [(name, x, y) for x, y in enumerate(to)]
+        seen, want[name] = set(), 0
+        for x in range(n):
+            want[name] += x not in seen
+            while x not in seen:
+                seen.add(x)
+                x = to[x]
+    steps = spark.createDataFrame(rows, "name string, x long, y long")
+    for small in (20, 1 << 16):  # contracted first, and not
+        assert {r.name: r.cycles for r in verify.cycles(steps, small).collect()} == want
+
+
+def test_as_of_is_the_last_start_at_or_before(spark):
+    rng = random.Random(9)
+    starts = sorted({0, *rng.sample(range(5000), 60)})
+    points = [(rng.randrange(5000), k) for k in range(300)]
+    found = as_of(spark.createDataFrame(points, "at long, k long"), "at", spark.createDataFrame([(s, f"v{s}") for s in starts], "s long, v string"), "s", ("v",), 5000)
+    assert {r.k: (r.at, r.v) for r in found.collect()} == {k: (p, f"v{max(s for s in starts if s <= p)}") for p, k in points}
+
+
+def test_pieces_of_any_size_give_the_same_positions(spark):
+    rows = collection(spark, ["ACGT" * 3, "", "é\n🙂x", "G"])
+    want = sorted(map(tuple, positions(rows).collect()))
+    import helixmill.operators.suffixes as module
+
+    for size in (1, 4, 5):
+        cut = pieces(rows, size).collect()
+        assert all(len(r.piece) <= size for r in cut) and sum(r.last for r in cut) == 4
+        original, module.PIECE = module.PIECE, size
+        module.pieces.__defaults__ = (size,)
+        try:
+            assert sorted(map(tuple, positions(rows).collect())) == want
+        finally:
+            module.PIECE = original
+            module.pieces.__defaults__ = (original,)
+
+
+def test_texts_sort_by_code_points_and_dna_has_n_last(spark):
+    seqs = ["ZN", "NZ", "na"]
+    for method in ("strings", "doubling"):
+        table = suffixes(collection(spark, seqs), method, "text")
+        order = [(r.seq_id, r.off) for r in table.orderBy("sa_rank").collect()]
+        assert order == sorted(((s, o) for s, x in enumerate(seqs) for o in range(len(x) + 1)), key=lambda p: (seqs[p[0]][p[1] :], p[0]))
+        back = inverse.sequences_of(inverse.positions_of_runs(runs.rlbwt(table), "text")).orderBy("seq_id").collect()
+        assert [r.seq for r in back] == seqs

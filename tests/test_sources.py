@@ -1,6 +1,10 @@
 import random
 
-from helixmill.operators import repeats
+import pytest
+from pyspark.sql import functions as F
+
+from helixmill.functions import strings
+from helixmill.operators import matching, repeats
 from helixmill.operators.suffixes import suffixes
 from helixmill.plans import index_store
 from helixmill.sources import sequences, sinks
@@ -16,6 +20,53 @@ def test_fasta_round_trip(spark, tmp_path):
     assert sorted((r.name, r.seq) for r in again.collect()) == [("one", "ACGTAC"), ("three", "GG"), ("two", "")]
 
 
+def test_fasta_headers_may_have_the_mark_inside(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("\n>one A->B mutant\r\nAC\r\nGT\r\n>two>x\nG G\n>\nT")
+    found = sequences.from_fasta(spark, str(tmp_path / "a.fa"))
+    assert [(r.seq_id, r.name, r.seq) for r in found.orderBy("seq_id").collect()] == [(0, "one", "ACGT"), (1, "two>x", "GG"), (2, "", "T")]
+    (tmp_path / "b.fa").write_text("ACGT\n>a\nA\n")
+    with pytest.raises(ValueError, match="header"):
+        sequences.from_fasta(spark, str(tmp_path / "b.fa")).collect()
+
+
+def test_files_that_are_split_anywhere_keep_their_records(spark, tmp_path):
+    rng = random.Random(1)
+    made = [(f"r{i}", "".join(rng.choices("ACGTN", k=rng.randint(0, 30)))) for i in range(90)]
+    for part, rows in (("1", made[:50]), ("2", made[50:])):
+        (tmp_path / f"{part}.fq").write_text("".join(f"@{n} c\n{s}\n+\n{'I' * len(s)}\n" for n, s in rows))
+        (tmp_path / f"{part}.fa").write_text("".join(f">{n} c\n{s[:9]}\n{s[9:]}\n" for n, s in rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for found in (sequences.from_fastq(spark, str(tmp_path / "*.fq")), sequences.from_fasta(spark, str(tmp_path / "*.fa"))):
+            assert [(r.name, r.seq) for r in found.orderBy("seq_id").collect()] == made
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "bad.fq").write_text("@a\nACG\n+\nII\n")
+    with pytest.raises(ValueError, match="four lines"):
+        sequences.from_fastq(spark, str(tmp_path / "bad.fq"))
+
+
+def test_dna_keeps_every_place(spark):
+    rows = spark.createDataFrame([(1, "acNNgt RXß\n🙂"), (2, None), (3, "")], "k long, t string")
+    assert [r.seq for r in sequences.from_table(rows, "k", "t").orderBy("seq_id").collect()] == ["ACNNGTNNNNNN", "", ""]
+    assert sequences.from_table(rows.where("k > 1"), "k", "t", "strict").count() == 2
+    with pytest.raises(Exception, match="ACGTN"):
+        sequences.from_table(rows, "k", "t", "strict").collect()
+    codes = rows.limit(1).select(*(strings.encode(F.lit(c)).alias(c) for c in "$ACGTN"), strings.decode(F.lit(5)).alias("d")).first()
+    assert list(codes) == [0, 1, 2, 3, 4, 5, "N"]
+    with pytest.raises(Exception, match="alphabet"):
+        rows.select(strings.encode(F.lit("x"))).collect()
+
+
+def test_matches_as_binary_files(spark, tmp_path):
+    ms = spark.createDataFrame([("p", 1, 4, 9), ("p", 0, 5, 8), ("q", 0, 0, None)], "name string, i long, len long, pos long")
+    patterns = spark.createDataFrame([("p", "AC"), ("q", "G"), ("none", "")], "name string, seq string")
+    files = sinks.write_matching(matching.arrays(ms, patterns), f"file://{tmp_path}/ms").collect()
+    for kind, want in (("len", [("none", []), ("p", [5, 4]), ("q", [0])]), ("pos", [("none", []), ("p", [8, 9]), ("q", [0])])):
+        assert sorted(x for f in files if f.kind == kind for x in sinks.read_matching(f.path)) == want
+
+
 def test_lines_words_lengths_fastq(spark, tmp_path):
     (tmp_path / "l").write_text("ACGT\nGG\n")
     assert [r.seq for r in sequences.from_lines(spark, str(tmp_path / "l"), both_strands=True).orderBy("seq_id").collect()] == ["ACGT", "ACGT", "GG", "CC"]
@@ -90,9 +141,12 @@ def test_store_and_sinks(spark, tmp_path):
     sinks.write_run_minima(minima, str(tmp_path / "rlcp"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "rlcp")).collect()]
     assert sorted(lines) == sorted(f"( {r.loc}, {r.min_lcp})" for r in minima.collect())
+    sizes = {r.relation: r.bytes for r in index_store.sizes(spark, str(tmp_path / "index")).collect()}
+    assert set(sizes) == set(index_store.RELATIONS) and all(sizes.values())
     found = repeats.supermaximal_repeats(table, 2)
     sinks.write_tsv(found, str(tmp_path / "sm"))
-    lines = [r.value for r in spark.read.text(str(tmp_path / "sm")).collect()]
+    header, *lines = [x for f in sorted((tmp_path / "sm").glob("part-*")) for x in f.read_text().splitlines()]
+    assert header == "seq\tpos\tlen\tocc"
     assert sorted(lines) == sorted("\t".join(map(str, [r.seq, r.pos, r.len, r.occ, *(x for o in r.others for x in o)])) for r in found.collect())
 
 
