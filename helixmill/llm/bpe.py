@@ -1,8 +1,8 @@
 """Byte-level BPE: encoding with a hierarchical-bitmap rank queue, and decoding.
 
 A pre-token's bytes are the nodes of a linked list. Every pair of neighbours that the vocabulary can merge waits in the
-bucket of its rank. Bitmaps of 256 bits in two levels say which buckets hold anything: find-first-set at each
-level gives the lowest rank. Positions of a bucket are taken from left to right; an entry whose pair has changed
+bucket of its rank. Bitmaps in two levels say which buckets hold anything, leaves of 256 bits and one above them with a
+bit a leaf: find-first-set at each level gives the lowest rank. Positions of a bucket are taken from left to right; an entry whose pair has changed
 since is stale and skipped. Every merge removes a node and adds two entries at most, so a
 pre-token of n bytes takes O(n log n), however long it is.
 """
@@ -29,9 +29,6 @@ from helixmill.llm.common import slices, texts_of
 #: Chunks and pre-tokens that a worker remembers, in each of two generations: about 300 MB in all.
 REMEMBER = 400_000
 
-_BITS = [1 << i for i in range(256)]
-
-
 class ByteBPE:
     """Encoding and decoding by a file of ranks: a line per token, its bytes in base64 and its rank, which is its id."""
 
@@ -39,11 +36,10 @@ class ByteBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes = {v: k for k, v in self.ranks.items()}
-        if max(self.bytes) >= 1 << 16:
-            raise ValueError("ranks of 2**16 or more need a third level of bitmaps")
         # the queue; empty again after each pre-token, so that one serves them all
         self.buckets: dict[int, list[int]] = {}
-        self.leaves = [0] * 256
+        self.leaves = [0] * ((max(self.bytes) >> 8) + 1)
+        self.bits = [1 << i for i in range(max(256, len(self.leaves)))]
         # white space as the property of that name, which is what the pattern's library means by \s
         stated = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(stated).findall
@@ -53,7 +49,7 @@ class ByteBPE:
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, buckets, leaves, bits = self.ranks, self.buckets, self.leaves, _BITS
+        ranks, buckets, leaves, bits = self.ranks, self.buckets, self.leaves, self.bits
         find = ranks.get
         if (whole := find(token, -1)) >= 0:
             return [whole]

@@ -1,5 +1,6 @@
 """Tokenizers against their libraries."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -47,6 +48,20 @@ def test_bpe_of_long_pretokens(ranks, tiktoken_encoding):
     assert not ranks.buckets and not any(ranks.leaves)
 
 
+def test_vocabularies_of_any_size(tmp_path):
+    words = [*(bytes([i]) for i in range(256)), b"ab", b"abc", b"cab", b"bc", b"aa", b"aaaa"]
+    ranks = {w: k if len(w) == 1 else 70_000 + 997 * k for k, w in enumerate(words)}
+    (tmp_path / "large.tiktoken").write_bytes(b"".join(base64.b64encode(w) + f" {r}\n".encode() for w, r in ranks.items()))
+    own = bpe.ByteBPE(str(tmp_path / "large.tiktoken"), r"\S+|\s+")
+    import tiktoken
+
+    library = tiktoken.Encoding("large", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choices("abc ", k=rng.randint(0, 30)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+
+
 def test_memory_keeps_what_is_asked_for_again(ranks):
     made = []
     memory = bpe.Memory(lambda c: made.append(c) or c.encode(), most=2, longest=3)
