@@ -26,7 +26,7 @@ from helixmill.operators import matching, repeats, verify
 from helixmill.operators.suffixes import suffixes
 from helixmill.plans import index_store
 from helixmill.plans.shipping import ship
-from helixmill.plans.tables import stored
+from helixmill.plans.tables import clear, stored
 from helixmill.plans.timing import Timer
 from helixmill.sources import sequences, sinks
 
@@ -114,10 +114,15 @@ def match(spark: SparkSession, o: argparse.Namespace, timer: Timer) -> None:
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
     o = options(args)
+    given = spark is not None
     spark = ship(spark or SparkSession.builder.appName("helixmill").getOrCreate())
     timer = Timer(print if o.timings else None)
-    with timer.step(o.command):
-        return _run(spark, o, timer)
+    try:
+        with timer.step(o.command):
+            return _run(spark, o, timer)
+    finally:
+        if not given:  # a session of one's own may still use its tables
+            clear(spark)
 
 
 def _run(spark: SparkSession, o: argparse.Namespace, timer: Timer) -> int:
