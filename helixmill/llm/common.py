@@ -85,9 +85,8 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     An edge from a node to itself or with a null end is ignored, as are repeated edges.
     """
     e = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
+    before, n = None, e.count()
     for _ in range(most_rounds):
-        n = e.count()
         if not n:
             break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -100,7 +99,7 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
