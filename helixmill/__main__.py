@@ -6,12 +6,12 @@
     python -m helixmill minlcp --index DIR --output DIR
     python -m helixmill repeats --index DIR --output DIR --kind SM|LM [-L N]
     python -m helixmill match --index DIR --query patterns.fa --output DIR [--query-format fasta|fastq|lines]
-                              [--rule reference|min|order|replay] [--record DIR] [--replay DIR] [--files parquet|binary]
+                              [--rule reference|min|order|replay|joins] [--record DIR] [--replay DIR] [--files parquet|binary]
     python -m helixmill extract --index DIR --sequence K [--first A] [--last B]
 
 All take --timings, which says what each step took. A rule says which occurrence of a longest match is given: the one that the walk
-over the index comes to (reference; replay takes its choices from a recorded walk), or the first in the text (min by the index, order without one
-in one place, for any size).
+over the index comes to (reference; joins for an index of any size; replay takes its choices from a recorded walk), or the first in the text (min by the
+index, order for a collection of any size).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.operators import matching, repeats, verify
+from helixmill.operators import matching, repeats, verify, walks
 from helixmill.operators.suffixes import suffixes
 from helixmill.plans import index_store
 from helixmill.plans.shipping import ship
@@ -49,7 +49,7 @@ def options(args: list[str]) -> argparse.Namespace:
     commands["repeats"].add_argument("-L", type=int)
     commands["match"].add_argument("--query", required=True)
     commands["match"].add_argument("--query-format", choices=("fasta", "fastq", "lines"), default="fasta")
-    commands["match"].add_argument("--rule", choices=("reference", "min", "order", "replay"), default="reference")
+    commands["match"].add_argument("--rule", choices=("reference", "min", "order", "replay", "joins"), default="reference")
     commands["match"].add_argument("--record")
     commands["match"].add_argument("--replay")
     commands["match"].add_argument("--files", choices=("parquet", "binary"), default="parquet")
@@ -96,6 +96,8 @@ def match(spark: SparkSession, o: argparse.Namespace, timer: Timer) -> None:
     with timer.step("match"):
         if o.rule == "order":
             ms = matching.matched_by_order(index_store.load(spark, o.index, "sequences"), patterns)
+        elif o.rule == "joins":
+            ms = walks.walked(table, index_store.load(spark, o.index, "sequences"), patterns)
         elif o.rule == "replay":
             ms = matching.replayed(table, patterns, spark.read.parquet(o.replay))
         else:

@@ -12,7 +12,7 @@ from helixmill.plans.tables import running, stored
 from helixmill.sources.sequences import checked_runs
 
 
-def _in_f(runs: DataFrame, mode: str) -> DataFrame:
+def placed_in_f(runs: DataFrame, mode: str) -> DataFrame:
     """(run_id, ch, run_len, start, f_start, interval): where each run begins in the BWT and in F."""
     f = stored(f_column(runs, mode), "f")
     starts = starts_of(f.select("interval", "length")).select("interval", F.col("start").alias("f_start"))
@@ -41,7 +41,7 @@ def positions_of_runs(runs: DataFrame, mode: str = "dna") -> DataFrame:
     Row k is the endmarker of sequence k, as endmarkers are distinct and in the order of sequences. From every row, Psi leads
     through its sequence to its endmarker, which tells the sequence and the place in it.
     """
-    placed_runs = stored(_in_f(checked_runs(runs), mode), "runs")
+    placed_runs = stored(placed_in_f(checked_runs(runs), mode), "runs")
     rows = placed_runs.select("ch", (F.col("f_start") - F.col("start")).alias("shift"), F.explode(F.sequence("start", F.col("start") + F.col("run_len") - 1)).alias("row"))
     rows = stored(rows.select("row", "ch", F.when(F.col("ch") != "$", F.col("row") + F.col("shift")).alias("lf")), "rows")
     ends = rows.where("ch = '$'").count()
@@ -74,7 +74,7 @@ def lf_of_runs(runs: DataFrame, mode: str = "dna", positions: DataFrame | None =
     Endmarkers are put right: the start of sequence k goes to the endmarker of sequence k - 1, cyclic. positions: positions_of_runs(runs), if it is there already.
     """
     positions = positions_of_runs(runs, mode) if positions is None else positions
-    own = stored(_in_f(checked_runs(runs), mode), "runs")
+    own = stored(placed_in_f(checked_runs(runs), mode), "runs")
     ends = own.where("ch = '$'").count()
     starts = positions.where("off = 0").select(F.col("sa_rank").alias("start"), "seq_id")
     to = own.join(starts, "start", "left").select(F.col("run_id").alias("interval"), "start", F.col("run_len").alias("length"), F.when(F.col("ch") == "$", F.pmod(F.col("seq_id") - 1, F.lit(max(ends, 1)))).otherwise(F.col("f_start")).alias("at"))
@@ -85,7 +85,7 @@ def lf_of_runs(runs: DataFrame, mode: str = "dna", positions: DataFrame | None =
 def psi_of_runs(runs: DataFrame, mode: str = "dna", positions: DataFrame | None = None) -> DataFrame:
     """Psi over the runs in the order of F, from the runs: the inverse of lf_of_runs(); endmarker k goes to the start of sequence k + 1, cyclic."""
     positions = positions_of_runs(runs, mode) if positions is None else positions
-    own = stored(_in_f(checked_runs(runs), mode), "runs")
+    own = stored(placed_in_f(checked_runs(runs), mode), "runs")
     ends = own.where("ch = '$'").count()
     starts = positions.where("off = 0").select(F.pmod(F.col("seq_id") - 1, F.lit(max(ends, 1))).alias("f_start"), F.col("sa_rank").alias("first"))
     rows = own.join(starts, "f_start", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators.suffixes import suffixes
 from helixmill.plans.tables import running, stored
+from helixmill.sources.sequences import numbered
 
 #: Rows of an index that may be broadcast (24 bytes each).
 BROADCAST_ROWS = 1 << 24
@@ -95,7 +96,7 @@ def _index_of(table: DataFrame):
     """The broadcast arrays of a suffix table of up to BROADCAST_ROWS rows."""
     n = table.count()
     if n > BROADCAST_ROWS:
-        raise ValueError(f"an index of {n} rows is too large to broadcast ({BROADCAST_ROWS}): use matched_by_order")
+        raise ValueError(f"an index of {n} rows is too large to broadcast ({BROADCAST_ROWS}): use walks.walked or matched_by_order")
     arrays = table.select("sa_rank", "text_pos", "bwt", "lcp").toPandas().sort_values("sa_rank")
     return table.sparkSession.sparkContext.broadcast((arrays["text_pos"].to_numpy(np.int64), arrays["bwt"].to_numpy("<U1"), arrays["lcp"].to_numpy(np.int64)))
 
@@ -121,7 +122,7 @@ def matching_statistics(table: DataFrame, patterns: DataFrame, rule: str = "refe
 
     table is a suffix table. pos is that of the walk's row ("reference") or the smallest ("min"). A character that the
     collection lacks raises, or with on_bad "break" gives len 0 and no pos. Rows of patterns are independent, so this
-    also runs on a stream. The index may have BROADCAST_ROWS rows; beyond that, use matched_by_order.
+    also runs on a stream. The index may have BROADCAST_ROWS rows; beyond that, walks.walked gives the same without it.
     """
     shared = _index_of(table)
 
@@ -172,7 +173,7 @@ def matched_by_order(sequences: DataFrame, patterns: DataFrame, mode: str = "dna
     Names of patterns must differ.
     """
     n = sequences.count()
-    names = stored(_numbered(patterns), "patterns")
+    names = stored(numbered(patterns), "patterns")
     both = sequences.select("seq_id", "seq", "len").unionByName(names.select((F.col("k") + n).alias("seq_id"), "seq", F.length("seq").cast("long").alias("len")))
     table = suffixes(both, "auto", mode)
     own = F.col("seq_id") < n
@@ -213,9 +214,3 @@ def matched_by_order(sequences: DataFrame, patterns: DataFrame, mode: str = "dna
     out = found.join(at, (F.col("seq_id") == F.col("s")) & (F.col("off") == F.col("o")), "left").withColumn("k", F.col("seq_id") - n)
     out = out.join(names.select("k", "name", F.length("seq").alias("size")), "k").where(F.col("off") < F.col("size"))
     return out.select("name", F.col("off").alias("i"), F.col("l").alias("len"), "pos")
-
-
-def _numbered(patterns: DataFrame) -> DataFrame:
-    from helixmill.sources.sequences import from_table
-
-    return from_table(patterns.select("name", "seq"), "name", "seq", "text").select(F.col("seq_id").alias("k"), "name", "seq")

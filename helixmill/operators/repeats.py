@@ -1,15 +1,22 @@
 """Repeats within a collection: supermaximal repeats and maximal repeat pairs.
 
 Both come from ranks, positions and LCPs of a suffix table alone: suffixes that share a prefix are neighbours, and
-two share the least LCP between them. Least LCPs of 2^k rows, for each k that occurs, make ranges of any length cheap.
+two share the least LCP between them. Where all suffixes with a prefix are wanted, ranks are cut into blocks: most ranges end in
+their block, and the others are followed over a row per block.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.plans.tables import running, stored
+from helixmill.plans.tables import as_of, running, stored
+
+#: Rows of a block.
+BLOCK = 1 << 16
 
 
 def _at_least(least: int) -> None:
@@ -40,6 +47,70 @@ def widened(rows: DataFrame, levels: list[DataFrame], length: str) -> DataFrame:
     return rows
 
 
+def _ends(part: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of rows (b, sa_rank, lcp, l): for each row with an l, the first and last rank of the neighbours that share l characters with
+    it, -1 where they go on beyond the block; and the places of lcps that are less than all behind ("last") or before them ("first")."""
+    part = part.sort_values("sa_rank")
+    rank, lcp = part["sa_rank"].tolist(), part["lcp"].tolist()
+    wanted = [None if pd.isna(x) else int(x) for x in part["l"]]
+    lo, hi = [-1] * len(rank), [-1] * len(rank)
+    low: list[int] = []  # lcps of the stack, in ascending order
+    at: list[int] = []
+
+    def push(i: int) -> None:
+        while low and low[-1] >= lcp[i]:
+            low.pop()
+            at.pop()
+        low.append(lcp[i])
+        at.append(rank[i])
+
+    for i in range(len(rank)):
+        push(i)
+        if wanted[i] is not None and (k := bisect_left(low, wanted[i])):
+            lo[i] = at[k - 1]
+    out = [("last", r, v, None, None, None) for r, v in zip(at, low, strict=True)]
+    low.clear()
+    at.clear()
+    for i in reversed(range(len(rank))):
+        if wanted[i] is not None and (k := bisect_left(low, wanted[i])):
+            hi[i] = at[k - 1] - 1
+        push(i)
+    out += [("first", r, v, None, None, None) for r, v in zip(at, low, strict=True)]
+    out += [("range", r, None, x, a, b) for r, x, a, b in zip(rank, wanted, lo, hi, strict=True) if x is not None]
+    found = pd.DataFrame(out, columns=["kind", "sa_rank", "lcp", "l", "lo", "hi"]).astype(dict.fromkeys(("lcp", "l", "lo", "hi"), "Int64"))
+    return found.assign(b=part["b"].iloc[0])
+
+
+def extents(table: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows(sa_rank, l, ...) with lo and hi, the ranks of the first and the last suffix that share l characters (1 or more) with that of sa_rank.
+
+    A block is worked on alone. What goes on beyond it is followed over least LCPs of blocks, and ends at one of the few places of
+    another block where its LCPs fall, which an as-of join finds. So the table is shuffled once, whatever the lengths of the ranges.
+    """
+    n, longest = table.agg(F.count("*"), F.max("lcp")).first()
+    given = table.select("sa_rank", "lcp").join(rows.select("sa_rank", "l"), "sa_rank", "left").withColumn("b", F.floor(F.col("sa_rank") / block))
+    found = stored(given.groupBy("b").applyInPandas(_ends, "kind string, sa_rank long, lcp long, l long, lo long, hi long, b long"), "extents")
+    ranges = found.where("kind = 'range'").select("sa_rank", "l", "lo", "hi", "b")
+    left_open = ranges.where("lo < 0 or hi < 0").select("b", "l").distinct().select("b", "l", (F.col("b") - 1).alias("lo"), F.col("b").alias("hi"))
+    blocks = found.where("kind = 'last'").groupBy("b").agg(F.min("lcp").alias("lcp")).withColumnRenamed("b", "sa_rank")
+    ends = widened(stored(left_open, "open"), minima(blocks, 1), "l")  # lo: the block before with less than l; hi: the last one without
+    width = (longest or 0) + 1
+    size = (-(-(n or 0) // block) + 1) * width
+
+    def falls(kind: str, at: str, to: str) -> DataFrame:
+        places = found.where(F.col("kind") == kind).select((F.col("b") * width + F.col("lcp")).alias("place"), F.col("sa_rank").alias(to), F.col("b").alias("of"))
+        asked = ends.where(F.col(at) >= 0).select("b", "l", at, (F.col(at) * width + F.least(F.col("l"), F.lit(width)) - 1).alias("asked"))
+        return as_of(asked, "asked", places, "place", (to, "of"), size).where(F.col("of") == F.col(at)).select(F.col("b").alias("own"), F.col("l").alias("own_l"), to)
+
+    ends = ends.withColumn("hi", F.col("hi") + 1)
+    out = ranges.withColumnsRenamed({"lo": "lo_in", "hi": "hi_in"})
+    for kind, at, to in (("last", "lo", "begin"), ("first", "hi", "stop")):
+        ends_at = falls(kind, at, to)
+        out = out.join(ends_at, (F.col("b") == F.col("own")) & (F.col("l") == F.col("own_l")), "left").drop("own", "own_l")
+    out = out.select("sa_rank", F.when(F.col("lo_in") >= 0, F.col("lo_in")).otherwise(F.col("begin")).alias("lo"), F.when(F.col("hi_in") >= 0, F.col("hi_in")).otherwise(F.coalesce(F.col("stop") - 1, F.lit(n - 1 if n else 0))).alias("hi"))
+    return rows.join(out, "sa_rank")
+
+
 def _supermaximal(table: DataFrame, least: int) -> DataFrame:
     """(seq_id, off, sa_rank, l, lo, hi): the places, and the ranks of all suffixes with the prefix."""
     _at_least(least)
@@ -47,8 +118,7 @@ def _supermaximal(table: DataFrame, least: int) -> DataFrame:
     longest = table.join(below, "sa_rank", "left").withColumn("l", F.greatest("lcp", F.coalesce("below", F.lit(0))))
     before = longest.select((F.col("text_pos") + 1).alias("text_pos"), F.col("l").alias("l_before"))
     found = longest.join(before, "text_pos", "left").where((F.col("l") >= least) & ((F.col("off") == 0) | (F.col("l_before") <= F.col("l"))))
-    found = found.select("seq_id", "off", "sa_rank", "l", F.col("sa_rank").alias("lo"), F.col("sa_rank").alias("hi"))
-    return widened(found, minima(table, least), "l")
+    return extents(table, stored(found.select("seq_id", "off", "sa_rank", "l"), "found"), BLOCK)
 
 
 def supermaximal_repeats(table: DataFrame, least: int = 1, others: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions.strings import common_prefix, decode, encode, point, reverse_complement
-from helixmill.operators import inverse, maps, matching, repeats, runs, verify
+from helixmill.operators import inverse, maps, matching, repeats, runs, verify, walks
 from helixmill.operators.suffixes import neighbours, positions, suffixes
 from helixmill.plans import index_store
 from helixmill.plans.registry import query
@@ -509,6 +509,12 @@ def ms_pos_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.matching_statistics(suffixes(own, mode="text"), patterns, on_bad="break")
 
 
+@query("ms_pos_by_joins", _WALKED)
+def ms_pos_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, patterns = _matched(spark, sf_dir)
+    return walks.walked(suffixes(own, mode="text"), own, patterns, "break", "text")
+
+
 @query("ms_repositionings", _WALK + _JUMPED)
 def ms_repositionings(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, patterns = _matched(spark, sf_dir)

@@ -34,6 +34,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return stored(lines.select(F.struct("f", "b", "i").alias("k"), "value"), "lines")
 
 
+def numbered(patterns: DataFrame) -> DataFrame:
+    """(k, name, seq) of patterns(name, seq), k from 0 in order of the names; a null seq is empty."""
+    return from_table(patterns.select("name", "seq"), "name", "seq", "text").select(F.col("seq_id").alias("k"), "name", "seq")
+
+
 def from_lines(spark: SparkSession, path: str, both_strands: bool = False) -> DataFrame:
     """A sequence per line, in the order of the files' lines. Lines are numbered by file and place in it."""
     rows = ranked(_lines(spark, path), "n", F.col("k"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.operators import inverse, maps, matching, repeats, runs, verify
+from helixmill.operators import inverse, maps, matching, repeats, runs, verify, walks
 from helixmill.operators.suffixes import pieces, positions, suffixes
 from helixmill.plans.tables import as_of
 
@@ -110,6 +110,14 @@ def test_matches_by_order_are_those_of_the_index(spark, monkeypatch, seqs):
         matching.matching_statistics(suffixes(rows), patterns)
 
 
+def test_the_walk_by_joins_is_that_over_the_index(spark, toy):
+    patterns = spark.createDataFrame([(p, p) for p in MS] + [("e", ""), ("own", TOY[0][3:20]), ("bad", "ACNA")], "name string, seq string")
+    want = matching.matching_statistics(toy, patterns, on_bad="break").collect()
+    assert sorted(map(str, walks.walked(toy, collection(spark, TOY), patterns, "break").collect())) == sorted(map(str, want))
+    with pytest.raises(ValueError, match="'N' does not occur"):
+        walks.walked(toy, collection(spark, TOY), patterns.where("name = 'bad'")).collect()
+
+
 def test_a_recorded_walk_is_replayed(spark, toy):
     patterns = spark.createDataFrame([(p, p) for p in MS] + [("e", "")], "name string, seq string")
     recorded = matching.repositionings(toy, patterns)

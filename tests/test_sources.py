@@ -125,7 +125,17 @@ def test_repeats_of_a_doubled_table_equal_brute_force(spark):
     rng = random.Random(6)
     seqs = ["".join(rng.choices("ACGT", k=rng.randint(0, 40))) for _ in range(5)] + ["A" * 9, "", "ACGTACGTACGT", "ACGTACGTACGT"]
     rows = spark.createDataFrame([(i, str(i), s, len(s)) for i, s in enumerate(seqs)], "seq_id long, name string, seq string, len long")
-    doubled = suffixes(rows, "doubling")
+    doubled = suffixes(rows, "doubling").cache()
+    whole = doubled.where("lcp >= 1").selectExpr("sa_rank", "lcp as l")
+    lcp = [r.lcp for r in doubled.orderBy("sa_rank").collect()]
+    for block in (3, 16, 1 << 16):  # ranges over many blocks, over some, and in one
+        for r in repeats.extents(doubled, whole, block).collect():
+            lo, hi = r.sa_rank, r.sa_rank
+            while lcp[lo] >= r.l:
+                lo -= 1
+            while hi + 1 < len(lcp) and lcp[hi + 1] >= r.l:
+                hi += 1
+            assert (r.lo, r.hi) == (lo, hi)
     assert {tuple(r) for r in repeats.maximal_repeats(doubled, 3).collect()} == brute_repeats(seqs, 3)
     found = repeats.supermaximal_repeats(doubled, 3).collect()
     assert {(r.seq, r.pos, r.len, frozenset(map(tuple, r.others))) for r in found} == brute_supermaximal(seqs, 3)
