@@ -34,7 +34,7 @@ def pages_of(df):
 
 
 def test_op3(spark, sf_dir):
-    big, copy = "é<b>" * 200_000, "c" * 1500
+    big, copy = "é<b>" * 2_000_000, "c" * 1500
     rows = [(1, "http://a/", copy), (2, None, copy), (2, None, copy), (9, "http://b/ x\r\ny", copy), (None, "http://c/", copy), (3, "u", None), (None, None, None), (4, "u", ""), (5, "u", "s" * 999), (6, "u", "s" * 999), (7, "u", big), (8, "u", big), (None, "u", "n" * 2000), (None, "u", "n" * 2000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert pages_of(df) == stated_pages(rows)
@@ -207,6 +207,13 @@ def test_op6_of_hard_rows(spark):
     assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
 
 
+def test_clashing_columns_of_op5_op6_and_op10(spark):
+    docs = documents(spark, HARD)
+    clash = docs.selectExpr("*", "1 as size", "2 as taken", "'x' as h", "3 as held_out", "4 as lang_pred", "5 as sketch", "6 as bucket", "7 as ghost", "8 as next_text", "9 as text_hash", "10 as row_hash", "11 as of")
+    for f in (mixing.mixed, langid.identified, fingerprints.fingerprint_documents):
+        assert sorted(map(str, f(clash).collect())) == sorted(map(str, f(docs).collect()))
+
+
 def test_op6_learns_more_languages_than_a_mask_has_bits(spark):
     def word(k):
         return "".join(chr(0x4E00 + 40 * k + i) for i in range(12))
