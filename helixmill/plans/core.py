@@ -464,9 +464,10 @@ pat as materialized (select name, seq, len from every, cut where seq_id >= c)"""
 top as (select max(sa_rank) as last, count(*) as n from t),
 step as materialized (select t.sa_rank, a.sa_rank as lf from t, top join t a on a.text_pos = (t.text_pos + top.n - 1) % top.n),
 ch as materialized (select distinct bwt as c from t where bwt <> '$'),
-found as materialized (select t.sa_rank, c, max(case when t.bwt = c then t.sa_rank end) over (partition by c order by t.sa_rank) as up, min(case when t.bwt = c then t.sa_rank end) over (partition by c order by t.sa_rank desc) as down from t, ch),
-jump as materialized (select f.sa_rank, f.c, f.up, f.down, (select min(x.lcp) from t x where x.sa_rank > f.up and x.sa_rank <= f.sa_rank) as up_lce, (select min(x.lcp) from t x where x.sa_rank > f.sa_rank and x.sa_rank <= f.down) as down_lce
-  from found f),
+found as materialized (select t.sa_rank, t.lcp, t.bwt, c, max(case when t.bwt = c then t.sa_rank end) over above as up, min(case when t.bwt = c then t.sa_rank end) over below as down,
+  count(case when t.bwt = c then 1 end) over above as g, count(case when t.bwt = c then 1 end) over below as h from t, ch window above as (partition by c order by t.sa_rank), below as (partition by c order by t.sa_rank desc)),
+jump as materialized (select sa_rank, c, up, down, case when up is not null then min(case when bwt <> c then lcp end) over (partition by c, g order by sa_rank) end as up_lce,
+  case when down is not null then min(lcp) over (partition by c, h order by sa_rank desc rows between unbounded preceding and 1 preceding) end as down_lce from found),
 walk as (
   select name, len as i, last as row, 0::bigint as len, null::bigint as from_row, null::bigint as to_row, null::bigint as kept, true as known from pat, top
   union all
