@@ -210,12 +210,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED)
     # the first shard's quota is what it took before and what is missing
     again = placed.where(first).withColumn("took", F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("source", "shard"))).withColumn("shard_quota", F.col("took") + F.col("off"))
     again = _chosen(again.select(*names), times_of, "times", names, block, seed)
-    per_row = placed.where(~first).select(*names, "times").unionByName(again).groupBy(*_KEYS).agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("times"))).alias("times"))
-    ids = unused(docs, "__id", "__text_hash", "__row_hash", "__times")
-    per_row = per_row.select(*(F.col(c).alias(name) for c, name in zip((*_KEYS, "times"), ids, strict=True)))
-    keyed = docs.withColumns({ids[1]: F.xxhash64("text"), ids[2]: F.xxhash64(*(F.col(f"`{c}`") for c in hashed))}).dropDuplicates(["doc_id", *ids[1:3]])
-    same = keyed["doc_id"].eqNullSafe(per_row[ids[0]])
-    for name in ids[1:3]:
-        same &= keyed[name] == per_row[name]
-    out = keyed.join(per_row.where(F.col(ids[3]) > 0), same)
-    return out.withColumn(ids[3], F.explode(F.array_repeat(F.lit(1), F.col(ids[3]).cast("int")))).select(*(keyed[c] for c in docs.columns))
+    per_row = placed.where(~first).select(*names, "times").unionByName(again).groupBy(*_KEYS[1:]).agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("times"))).alias("times"))
+    # a row's two hashes, of its text and of all its columns, are its key: one shuffle of the texts finds copies and their times
+    ids = unused(docs, "__text_hash", "__row_hash", "__times")
+    per_row = per_row.select(*(F.col(c).alias(name) for c, name in zip((*_KEYS[1:], "times"), ids, strict=True)))
+    keyed = docs.withColumns({ids[0]: F.xxhash64("text"), ids[1]: F.xxhash64(*(F.col(f"`{c}`") for c in hashed))}).dropDuplicates(ids[:2])
+    out = keyed.join(per_row.where(F.col(ids[2]) > 0), ids[:2])
+    return out.withColumn(ids[2], F.explode(F.array_repeat(F.lit(1), F.col(ids[2]).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
