@@ -62,6 +62,8 @@ def merge_sketches(parts: DataFrame, key: str, column: str = "sketch", k: int =
 
 #: Rows of a bucket, about; so many bounds at most are literals of a plan, and buckets between two of them are of equal width.
 BUCKET_ROWS, BOUNDS = 8192, 2048
+#: Buckets of a task, about, so that a task stays of one size however many rows there are.
+TASK_BUCKETS = 4
 
 
 def _bucket(doc_id: Column, bounds: list[int], least: int, most: int, fine: int) -> Column:
@@ -83,7 +85,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry
 
     carry: columns that are made of a text. The last row is followed by the first. Rows are dealt into buckets by quantiles of
     doc_id; the first rows of the next bucket also go, as ghosts, behind the last of the bucket before. So no task has to
-    see all rows, and a text is shuffled once. There is a bucket for about BUCKET_ROWS rows, however many that are; the driver gets BOUNDS numbers.
+    see all rows, and a text is shuffled once. There is a bucket for about BUCKET_ROWS rows, however many that are,
+    and a task for TASK_BUCKETS of them, beyond the session's number of shuffle partitions; the driver gets BOUNDS numbers.
     """
     spark, carry = docs.sparkSession, carry or {}
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -103,6 +106,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry
     ghosts = only_some(dealt, "doc_id", firsts, "first").join(to, (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")))
     rows = dealt.select("doc_id", "text", "bucket", F.lit(False).alias("ghost")).union(ghosts.select("doc_id", "text", "to", F.lit(True)))
     rows = rows.withColumns({c: f(F.col("text")) for c, f in carry.items()}) if carry else rows
+    rows = rows.repartition(max(width, -(-count // TASK_BUCKETS)), "bucket")
     order_by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return rows.select("doc_id", "text", *carry, "ghost", *(F.lead(c).over(order_by).alias(f"next_{c}") for c in ("text", *carry))).where("not ghost").drop("ghost")
 
