@@ -165,15 +165,10 @@ def arrays(ms: DataFrame, patterns: DataFrame) -> DataFrame:
     return patterns.select("name").join(rows, "name", "left").select("name", part("len").alias("lens"), part("pos").alias("poss"))
 
 
-def matched_by_order(sequences: DataFrame, patterns: DataFrame, mode: str = "dna") -> DataFrame:
-    """(name, i, len, pos) with the smallest pos, from the suffix order of sequences and patterns(name, seq) together; len 0 has no pos.
-
-    The longest match of a pattern's suffix is with the nearest suffix of a sequence above or below it: the least LCP between. All
-    matches of that length are neighbours. It is sorts, joins by place and running minima: no index in one place, and no bound on sizes.
-    Names of patterns must differ.
-    """
+def lengths_by_order(sequences: DataFrame, names: DataFrame, mode: str = "dna") -> tuple[DataFrame, DataFrame]:
+    """The suffix table of sequences and patterns(k, seq) together, in which pattern k is sequence k + their number, and (seq_id, off, sa_rank, l, row)
+    of each place of a pattern: l is the length of its longest match, row the rank among the sequences' own suffixes of one that has it."""
     n = sequences.count()
-    names = stored(numbered(patterns), "patterns")
     both = sequences.select("seq_id", "seq", "len").unionByName(names.select((F.col("k") + n).alias("seq_id"), "seq", F.length("seq").cast("long").alias("len")))
     table = suffixes(both, "auto", mode)
     own = F.col("seq_id") < n
@@ -187,7 +182,21 @@ def matched_by_order(sequences: DataFrame, patterns: DataFrame, mode: str = "dna
     found = rows.withColumn("up", F.when(F.col("group") > 0, up)).withColumn("down", down).where("own = 0").join(after, "group", "left")
     below = F.when(F.col("next").isNotNull(), F.least(F.col("next"), F.coalesce("down", "next")))
     found = found.withColumn("l", F.greatest(F.coalesce("up", F.lit(0)), F.coalesce(below, F.lit(0)))).where(F.col("off") >= 0)
-    found = stored(found.select("seq_id", "off", "sa_rank", "l"), "lengths")
+    row = F.when(F.col("l") > 0, F.when(F.col("up") == F.col("l"), F.col("group") - 1).otherwise(F.col("group")))
+    return table, stored(found.select("seq_id", "off", "sa_rank", "l", row.alias("row")), "lengths")
+
+
+def matched_by_order(sequences: DataFrame, patterns: DataFrame, mode: str = "dna") -> DataFrame:
+    """(name, i, len, pos) with the smallest pos, from the suffix order of sequences and patterns(name, seq) together; len 0 has no pos.
+
+    The longest match of a pattern's suffix is with the nearest suffix of a sequence above or below it: the least LCP between. All
+    matches of that length are neighbours. It is sorts, joins by place and running minima: no index in one place, and no bound on sizes.
+    Names of patterns must differ.
+    """
+    n = sequences.count()
+    names = stored(numbered(patterns), "patterns")
+    table, found = lengths_by_order(sequences, names, mode)
+    own = F.col("seq_id") < n
     # the smallest position among the suffixes that share l characters: least LCPs and positions of 2^k rows together
     place = F.when(own, F.col("text_pos"))
     above = table.select((F.col("sa_rank") + 1).alias("sa_rank"), place.alias("p"))

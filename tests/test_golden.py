@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import inverse, maps, matching, repeats, runs, verify, walks
 from helixmill.operators.suffixes import pieces, positions, suffixes
-from helixmill.plans.tables import as_of
+from helixmill.plans.tables import as_of, stored
 
 TOY = ["TGAACTCTACACAACATATTTTGTCACCAAG", "CTTGGTGACAAAATATGTTGTGTAGAGTTCA"]
 BWT = "GACCACGCAGCTACAATGACTTTAACATAATA$ATTATTTGTATCGAATGC$GTGTTAGCTGTA"
@@ -118,6 +118,29 @@ def test_the_walk_by_joins_is_that_over_the_index(spark, toy):
         walks.walked(toy, collection(spark, TOY), patterns.where("name = 'bad'")).collect()
 
 
+def test_the_walk_by_joins_takes_rounds_by_choices_not_by_characters(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab$") for _ in range(n))
+    seqs = [word(n) for n in (300, 40, 40, 1, 0)]
+    seqs += [seqs[0][:150] + "b" + seqs[0][150:], seqs[1] * 2]
+    patterns = [seqs[0], seqs[0][50:] + "z" + seqs[1], word(200), word(3), "$", "zz", "", None]
+    rows, asked = collection(spark, seqs), spark.createDataFrame([(f"p{i}", p) for i, p in enumerate(patterns)], "name string, seq string")
+    table = suffixes(rows, mode="text")
+    want = sorted(map(str, matching.matching_statistics(table, asked, on_bad="break").collect()))
+    tables = []
+
+    def counted(df, name):
+        tables.append(name)
+        assert len(tables) <= 60, "a round per character"
+        return stored(df, name)
+
+    monkeypatch.setattr(walks, "stored", counted)
+    assert sorted(map(str, walks.walked(table, rows, asked, "break", "text").collect())) == want
+    tables.clear()
+    monkeypatch.setattr(walks, "PIECE", 8)  # texts are compared over many pieces
+    assert sorted(map(str, walks.walked(table, rows, asked, "break", "text").collect())) == want
+
+
 def test_a_recorded_walk_is_replayed(spark, toy):
     patterns = spark.createDataFrame([(p, p) for p in MS] + [("e", "")], "name string, seq string")
     recorded = matching.repositionings(toy, patterns)
